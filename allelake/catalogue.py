@@ -1,0 +1,13 @@
+"""Queries by name, each with the SQL that it must agree with."""
+
+from __future__ import annotations
+
+FLAGSHIP = "a02_nested_facet"
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
