@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, tokenfile
+from . import bpe, packing, suffixes, tokenfile
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_suffixes": suffixes.op2_suffixes,
     "op9_token_file": tokenfile.op9_token_file,
     "op10_packing": packing.op10_packing,
 }
