@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common, pretokenize
 
-#: Entries of the piece cache in each worker (about 100 MB), and characters tokenised together.
-CACHE = 400_000
-CHUNK = 1 << 20
+#: Entries of a worker's piece cache (about 200 MB), and characters tokenised together.
+CACHE = 1_000_000
+CHUNK = 1 << 22
 LONG = 400
 NEVER = np.int32(2**31 - 1)
 
@@ -49,7 +49,7 @@ class Merges:
             self.slot_key[at[take]], self.slot_rank[at[take]] = keys[left[take]], ranks[left[take]]
             left = left[~take]
             self.probes += 1
-        self.cache: dict[bytes, bytes] = {}
+        self.encode = pretokenize.Pieces(self.merge, CACHE).encode
 
     def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
         return (((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)) + np.uint64(probe)).astype(np.int64) & ((1 << self.bits) - 1)
@@ -143,35 +143,10 @@ class Merges:
                 begin = end
         return out
 
-    def encode(self, documents: list[str]) -> tuple[list[bytes], list[np.ndarray]]:
-        """Ids of whole documents, and of each document the byte offsets at which its pieces start."""
-        pieces, counts = pretokenize.pieces(documents)
-        ids = cached(pieces, self.cache, self.merge)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        out, offsets, begin = [], [], 0
-        for n in counts.tolist():
-            out.append(b"".join(ids[begin : begin + n]))
-            offsets.append(np.cumsum(sizes[begin : begin + n]) - sizes[begin : begin + n])
-            begin += n
-        return out, offsets
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def cached(pieces: list[bytes], cache: dict[bytes, bytes], make) -> list[bytes]:
-    """Ids of all pieces; make is called once for those that the cache lacks."""
-    found = list(map(cache.get, pieces))
-    if None in found:
-        new = list({p: None for p, x in zip(pieces, found) if x is None})
-        fresh = dict(zip(new, make(new)))
-        found = [fresh[p] if x is None else x for p, x in zip(pieces, found)]
-        if len(cache) + len(fresh) > CACHE:
-            cache.clear()
-        cache.update(fresh)
-    return found
-
-
 @functools.cache
 def merges(path: str) -> Merges:
     with open(path, "rb") as f:

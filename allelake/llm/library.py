@@ -2,7 +2,7 @@
 
 The byte-level pre-tokeniser cuts a text into pieces that are merged apart from each other, so ids of a text are the ids
 of its pieces in order. Pieces are found by pretokenize.pieces and kept in a bounded cache; the library encodes those
-that are new.
+that are new, many in one call.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import numpy as np
 
 from . import bpe, pretokenize
 
-CHUNK = 1 << 20
+CHUNK = bpe.CHUNK
+MARK = "\0"
 
 
 class Encoder:
@@ -24,31 +25,38 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # Words handed over are pieces already; only their bytes are still to be mapped.
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.cache: dict[bytes, bytes] = {}
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        # Pieces are handed over between marks, each of which stays a piece of its own.
+        mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(MARK, "isolated"), mapped])
+        if hasattr(self.tokenizer.model, "_resize_cache"):  # pieces come once, so the library's own cache only costs
+            self.tokenizer.model._resize_cache(0)
+        self.alone = Tokenizer.from_file(path)
+        self.alone.encode_special_tokens = True
+        self.pieces = pretokenize.Pieces(self._ids, bpe.CACHE)
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         out = []
-        for i in range(0, len(pieces), 20_000):
-            part = [p.decode() for p in pieces[i : i + 20_000]]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            cuts = np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))) * 4
-            data, begin = np.array(e.ids, "<u4").tobytes(), 0
-            for end in cuts.tolist():
-                out.append(data[begin:end])
-                begin = end
+        for i in range(0, len(pieces), 1000):
+            part = [p.decode() for p in pieces[i : i + 1000]]
+            odd = [p for p in part if MARK in p]
+            if odd:
+                known = {p: np.array(self.alone.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in odd}
+                part = ["" if p in known else p for p in part]
+            ids = np.array(self.tokenizer.encode_batch_fast([MARK.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts, data, begin = (4 * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes(), 0
+            got = []
+            for end in [*cuts, len(data)]:
+                got.append(data[begin:end])
+                begin = end + 4
+            if odd:
+                got = [known.get(p.decode(), x) for p, x in zip(pieces[i : i + 1000], got)]
+            out += got
         return out
 
     def encode(self, documents: list[str], last: int) -> list[bytes]:
         """Little-endian 32-bit ids of each whole text, and the id last behind them."""
-        pieces, counts = pretokenize.pieces(documents)
-        ids = bpe.cached(pieces, self.cache, self._ids)
-        close, out, begin = np.array([last], "<u4").tobytes(), [], 0
-        for n in counts.tolist():
-            out.append(b"".join(ids[begin : begin + n]) + close)
-            begin += n
-        return out
+        return self.pieces.encode(documents, np.array([last], "<u4").tobytes())[0]
 
 
 @functools.cache

@@ -10,7 +10,6 @@ import heapq
 import itertools
 import zlib
 
-import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,26 +21,27 @@ PIECE, WINDOWS = 256, 128
 
 
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:
-    """Items of each of the ways. Partial partitions with the largest spreads are merged, the largest sums of one with the smallest of the other."""
+    """Items of each of the ways. Partial partitions with the largest spreads are merged, the largest sums of one with the smallest of the other.
+
+    A partial partition is a list of (sum, order, items) in ascending order; ways that are not listed are empty.
+    """
     order = itertools.count()
-    zero = np.zeros(ways, np.int64)
-    heap = []
-    for i, n in enumerate(sizes):
-        sums = zero.copy()
-        sums[-1] = n
-        heap.append((-n, next(order), sums, [[]] * (ways - 1) + [[i]]))
-    if not heap:
-        return [[] for _ in range(ways)]
+    heap = [(-n, next(order), [(n, i, (i,))]) for i, n in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, _, a, held = heapq.heappop(heap)  # sums ascend
-        _, _, b, other = heapq.heappop(heap)
-        sums = a + b[::-1]
-        turn = np.argsort(sums, kind="stable")
-        joined = [x + y if y else x for x, y in zip(held, reversed(other))]
-        sums = sums[turn]
-        heapq.heappush(heap, (int(sums[0] - sums[-1]), next(order), sums - sums[0], [joined[i] for i in turn.tolist()]))
-    return heap[0][3]
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        shared = len(a) + len(b) - ways  # as many of each must share a way
+        if shared <= 0:
+            joined = sorted(a + b)
+        else:
+            joined = sorted([*((x[0] + y[0], x[1], x[2] + y[2]) for x, y in zip(a[:shared], reversed(b[:shared]))), *a[shared:], *b[shared:]])
+        least = joined[0][0] if len(joined) == ways else 0
+        if least:
+            joined = [(n - least, i, held) for n, i, held in joined]
+        heapq.heappush(heap, (-joined[-1][0], next(order), joined))
+    held = [list(x[2]) for x in heap[0][2]] if heap else []
+    return held + [[] for _ in range(ways - len(held))]
 
 
 def deal(sizes: list[int], capacity: int) -> list[list[int]]:

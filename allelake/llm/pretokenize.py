@@ -8,10 +8,13 @@ before all characters follow from one associative scan over arrays rather than f
 from __future__ import annotations
 
 import functools
+import hashlib
 import unicodedata
 
 import numpy as np
 
+from . import common
+
 # Symbols. A white-space character whose successor is no white space is "last" in its run.
 LETTER, NUMBER, OTHER, GAP, LAST_BLANK, LAST_GAP, HEAD2, HEAD3, END = range(9)
 # States, after a character: a piece has just been closed; inside a run; behind a blank that the next run takes along;
@@ -119,8 +122,8 @@ def starts(marks: np.ndarray) -> np.ndarray:
     return out.T.reshape(-1)[:n]
 
 
-def pieces(documents: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """The pieces of all documents in order, as UTF-8, and the number of pieces in each document."""
+def pieces(documents: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All documents as UTF-8, where each piece starts and ends there, and the number of pieces in each document."""
     text = "\n".join(documents) + "\n"
     points = np.frombuffer(text.encode("utf-32-le"), "<u4")
     ends = np.cumsum(np.fromiter(map(len, documents), np.int64, len(documents)) + 1) - 1
@@ -131,13 +134,68 @@ def pieces(documents: list[str]) -> tuple[list[bytes], np.ndarray]:
     if len(raw) == len(points):
         at = where
     else:
-        width = np.ones(len(points), np.int64)
-        for low in (0x80, 0x800, 0x10000):
-            width += points >= low
-        at = (np.cumsum(width) - width)[where]
-    real = np.ones(len(where), bool)
+        width = (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8)
+        at = where + (np.cumsum(width, dtype=np.int64) - width)[where]
     closing = np.searchsorted(where, ends)
+    real = np.ones(len(where), bool)
     real[closing] = False
-    first, until = at[real[: len(at)]], np.append(at[1:], len(raw))[real]
-    counts = np.diff(closing, prepend=-1) - 1
-    return [raw[a:b] for a, b in zip(first.tolist(), until.tolist())], counts
+    return raw, at[real], np.append(at[1:], len(raw))[real], np.diff(closing, prepend=-1) - 1
+
+
+def distinct(raw: bytes, first: np.ndarray, until: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct pieces, and which of them each piece is."""
+    if not len(first):
+        return [], np.zeros(0, np.int64)
+    length = until - first
+    eights = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
+    head = eights[first] & (np.uint64(2**64 - 1) >> (np.uint64(8) * (8 - np.minimum(length, 8)).astype(np.uint64)))
+    key = common.mixed(head + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for k in (1, 2, 3):
+        more = np.flatnonzero(length > 8 * k)
+        key[more] = common.mixed(key[more] ^ (eights[np.minimum(first[more] + 8 * k, until[more] - 8)] * np.uint64(0xD6E8FEB86659FD93)))
+    for i in np.flatnonzero(length > 32).tolist():
+        key[i] = int.from_bytes(hashlib.blake2b(raw[first[i] : until[i]], digest_size=8).digest())
+    order = np.argsort(key)
+    new = np.append(True, key[order[1:]] != key[order[:-1]])
+    lead = order[new]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    if (head[lead][which] != head).any() or (length[lead][which] != length).any():  # a hash that two pieces share
+        every: dict[bytes, int] = {}
+        which = np.array([every.setdefault(raw[a:b], len(every)) for a, b in zip(first.tolist(), until.tolist())])
+        return list(every), which
+    return [raw[a:b] for a, b in zip(first[lead].tolist(), until[lead].tolist())], which
+
+
+class Pieces:
+    """Ids of pieces as little-endian 32-bit integers, made once for each distinct one and kept while no more than most are held."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.held = make, most, {}
+
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        found = list(map(self.held.get, pieces))
+        new = [p for p, x in zip(pieces, found) if x is None]
+        if new:
+            fresh = dict(zip(new, self.make(new)))
+            found = [fresh[p] if x is None else x for p, x in zip(pieces, found)]
+            if len(self.held) + len(fresh) > self.most:
+                self.held.clear()
+            self.held.update(fresh)
+        return found
+
+    def encode(self, documents: list[str], last: bytes = b"") -> tuple[list[bytes], list[np.ndarray]]:
+        """Ids of whole documents, each closed by last, and of each document the byte offsets at which its pieces start."""
+        raw, first, until, counts = pieces(documents)
+        each, which = distinct(raw, first, until)
+        ids = self.ids(each)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, base = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        n = size[which]
+        stop = np.cumsum(n)
+        data = flat[np.repeat(base[which] - (stop - n), n) + np.arange(n.sum())].tobytes()
+        cut = np.cumsum(counts)
+        edge = (4 * np.append(0, stop)[np.append(0, cut)]).tolist()
+        begin = np.append(0, cut)
+        offsets = [first[a:b] - first[a] if b > a else first[:0] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+        return [data[a:b] + last for a, b in zip(edge[:-1], edge[1:])], offsets

@@ -54,8 +54,9 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         for part in np.array_split(rows, -(-len(rows) // 512)):
-            bits = ((rest[part][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8).reshape(len(part), -1)
-            packed = np.packbits(bits, axis=1, bitorder="little")
+            wide = rest[part].astype("<u2" if w <= 16 else "<u4")
+            bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").reshape(len(part), BLOCK, -1)[:, :, :w]
+            packed = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
             for row, i in zip(packed, part.tolist()):
                 blocks[i] = row[: (int(used[i]) * w + 7) // 8].tobytes()
     which, spot = np.nonzero(over)
@@ -179,12 +180,12 @@ def write_ids(docs: DataFrame, vocabulary: str, end: int, segment_ids: int = SEG
     return common.stored(ordered.mapInArrow(run, ddl), "token-ids")
 
 
-def read_ids(segments: DataFrame) -> DataFrame:
-    """One row per document, from the segments alone: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids."""
+def read_ids(segments: DataFrame, keep_ids: bool = True) -> DataFrame:
+    """One row per document, from the segments alone: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, with keep_ids, ids."""
     totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("held"))
     # One row a shard, hence small whatever the input.
     before = totals.select("shard", (F.sum("held").over(W.orderBy("shard")) - F.col("held")).alias("before"))
-    ddl = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+    ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids
     schema = common.arrow_schema(ddl)
 
     def run(batches):
@@ -196,7 +197,7 @@ def read_ids(segments: DataFrame) -> DataFrame:
                 begins = ends - counts
                 data = ids.astype("<u4").tobytes()
                 each = [data[4 * a : 4 * e] for a, e in zip(begins.tolist(), ends.tolist())]
-                yield common.batch(schema, doc_ids, begins + (b.column(0)[row].as_py() + b.column(1)[row].as_py()), counts, [zlib.crc32(x) for x in each], each)
+                yield common.batch(schema, doc_ids, begins + (b.column(0)[row].as_py() + b.column(1)[row].as_py()), counts, [zlib.crc32(x) for x in each], *[each] * keep_ids)
 
     return segments.join(F.broadcast(before), "shard").select("before", "first", "segment").mapInArrow(run, ddl)
 
@@ -205,4 +206,4 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     segments = write_ids(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
-    return read_ids(segments).drop("ids")
+    return read_ids(segments, keep_ids=False)
