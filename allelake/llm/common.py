@@ -61,6 +61,16 @@ def chunks(sizes: list[int], most: int):
         yield start, len(sizes)
 
 
+def parts(batches, column: int = 1, most: int = 1 << 20):
+    """Record batches cut so that one column of each holds about most characters or bytes, which bounds what is in memory beside them."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
+        for i, j in chunks(sizes, most):
+            yield b.slice(i, j - i)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "float": pa.float32()}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(","))])

@@ -27,7 +27,7 @@ CHUNK = 1 << 18
 #: Contexts of one block that a task sorts; blocks beyond are counted window by window instead.
 BLOCK_MOST = 4096
 #: Bytes of contexts sorted together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 #: Texts of which a task remembers the digests, so as to look at copies once.
 REMEMBERED = 100_000
 
@@ -159,7 +159,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         seen: set[bytes] = set()
-        for b in batches:
+        for b in common.parts(batches):
             keys, data = b.column(0).to_numpy(), b.column(1).cast(pa.binary()).to_pylist()
             for i, j in common.chunks([len(x) for x in data], CHUNK):
                 take = []
@@ -193,7 +193,7 @@ def _contexts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     schema = common.arrow_schema(CONTEXT)
 
     def run(batches):
-        for b in batches:
+        for b in common.parts(batches):
             keys, data = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
             spots = b.column(2)
             flat = spots.flatten()
@@ -291,27 +291,29 @@ def repeats(docs: DataFrame, length: int = LENGTH, block_most: int = BLOCK_MOST)
     return copies, spans
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, block_most: int = BLOCK_MOST) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, block_most: int = BLOCK_MOST, keep: bool = True) -> DataFrame:
     """What is left of each text, as UTF-8 bytes, without the bytes covered by strings of length bytes that also start elsewhere.
 
     A null text counts as empty; matches never cross documents; all copies of a repeat go, the first included. doc_id
-    tells documents apart: rows with one doc_id are copies if their texts are equal. Other columns are not read.
+    tells documents apart: rows with one doc_id are copies if their texts are equal. Other columns are not read. keep: whether
+    the column kept, what is left, follows the digests.
     """
     docs = common.texts(docs)
     copies, spans = repeats(docs, length, block_most)
     lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     flags = copies.distinct().withColumn("copied", F.lit(True))
-    schema = common.arrow_schema(RESULT)
+    ddl = RESULT + ", kept binary" * keep
+    schema = common.arrow_schema(ddl)
 
     def run(batches):
-        for b in batches:
+        for b in common.parts(batches):
             rows = []
             for key, text, spans, copied in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2), b.column(3).to_pylist()):
                 if copied:
-                    rows.append((key, len(text), len(text), 1, hashlib.sha256(b"").hexdigest(), b""))
+                    rows.append((key, len(text), len(text), 1, hashlib.sha256(b"").hexdigest(), b"")[: len(schema)])
                     continue
                 kept, n_spans, removed = text, 0, 0
                 if spans.is_valid:
@@ -323,13 +325,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_most: int = BLOC
                     n_spans, removed = len(begin), int((end - begin).sum())
                     edges = [0, *np.stack((begin, end), 1).reshape(-1).tolist(), len(text)]
                     kept = b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2]))
-                rows.append((key, len(text), removed, n_spans, hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((key, len(text), removed, n_spans, hashlib.sha256(kept).hexdigest(), kept)[: len(schema)])
             if rows:
                 yield common.batch(schema, *zip(*rows))
 
     whole = docs.join(lists, "doc_id", "left").join(flags, "doc_id", "left").select("doc_id", "text", "spans", "copied")
-    return whole.mapInArrow(run, RESULT)
+    return whole.mapInArrow(run, ddl)
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(common.table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(common.table(spark, sf_dir, "documents"), keep=False)
