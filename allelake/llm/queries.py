@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, suffixes, tokenfile
+from . import bpe, ordered, packing, suffixes, tokenfile
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_suffixes": suffixes.op2_suffixes,
+    "op3_order_minhash": ordered.op3_order_minhash,
     "op9_token_file": tokenfile.op9_token_file,
     "op10_packing": packing.op10_packing,
 }
