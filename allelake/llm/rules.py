@@ -54,7 +54,7 @@ PLACED = "array<struct<h:bigint,i:int>>"
 
 def _placed(windows: Column) -> Column:
     """Windows' hashes with their places, equal ones side by side; none where all windows differ."""
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     return F.when(F.size(F.array_distinct(windows)) < F.size(windows), placed).otherwise(F.array().cast(PLACED))
 
 
