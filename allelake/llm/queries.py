@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, ordered, packing, rules, suffixes, tokenfile
+from . import bpe, ordered, packing, rules, suffixes, tokenfile, vectors
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_suffixes": suffixes.op2_suffixes,
     "op3_order_minhash": ordered.op3_order_minhash,
     "op4_rules": rules.op4_rules,
+    "op5_vectors": vectors.op5_vectors,
     "op9_token_file": tokenfile.op9_token_file,
     "op10_packing": packing.op10_packing,
 }
