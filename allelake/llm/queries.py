@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, ordered, packing, rules, suffixes, tokenfile, vectors
+from . import bpe, ordered, packing, rules, scoring, suffixes, tokenfile, vectors
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_order_minhash": ordered.op3_order_minhash,
     "op4_rules": rules.op4_rules,
     "op5_vectors": vectors.op5_vectors,
+    "op8_scores": scoring.op8_scores,
     "op9_token_file": tokenfile.op9_token_file,
     "op10_packing": packing.op10_packing,
 }
