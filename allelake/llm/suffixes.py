@@ -23,7 +23,7 @@ LENGTH = 200
 #: A perfect difference set: each difference modulo PERIOD is that of two members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 SPAN = 8 * PERIOD
-CHUNK = 1 << 18
+CHUNK = 1 << 20
 #: Contexts of one block that a task sorts; blocks beyond are counted window by window instead.
 BLOCK_MOST = 4096
 #: Bytes of contexts sorted together.
@@ -150,11 +150,15 @@ def repeated(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, windows:
     return out
 
 
-ANCHOR = "h long, c long, doc_id long, s long, n int"
+ANCHOR = "h long, c long, doc_id long, s long, n int, w int"
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """One row per anchor: the hash of its string, the hash of its context (all bytes of its windows), and where its windows start."""
+    """One row per anchor: the hash of its string, the hash of its context (all bytes of its windows), where its windows start, and a weight.
+
+    Contexts that recur among the texts at hand are settled at once. One of them goes on with their number as its
+    weight; the others weigh nothing and take a random key, so a string that recurs everywhere does not gather in one task.
+    """
     schema = common.arrow_schema(ANCHOR)
 
     def run(batches):
@@ -178,7 +182,14 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 begin = np.concatenate(([0], ends[:-1]))[doc]
                 h = anchors.gram_hashes(raw, at)
                 c = anchors.joined(common.span_hashes(raw, s, s + n + (length - 1)), (at - s).astype(np.uint64))
-                yield common.batch(schema, h.view(np.int64), c.view(np.int64), keys[np.array(take)][doc], s - begin, n.astype(np.int32))
+                pair = anchors.joined(h, c)
+                order = np.argsort(pair)
+                new = np.append(True, pair[order][1:] != pair[order][:-1])
+                weight = np.zeros(len(pair), np.int32)
+                weight[order[new]] = np.diff(np.append(np.flatnonzero(new), len(pair)))
+                ids = keys[np.array(take)][doc]
+                h = np.where(weight > 0, h, common.mixed(common.mixed(ids.astype(np.uint64)) + s.astype(np.uint64)))
+                yield common.batch(schema, h.view(np.int64), c.view(np.int64), ids, s - begin, n.astype(np.int32), weight)
 
     return docs.mapInArrow(run, ANCHOR)
 
@@ -277,14 +288,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, block_most: int = BLOCK_MOST)
     marked = (
         _anchor_rows(docs, length)
         .repartition("h")
-        .withColumn("nc", F.count(F.lit(1)).over(by_context))
-        .withColumn("lead", F.row_number().over(by_context.orderBy("doc_id", "s")) == 1)
-        .withColumn("nh", F.count(F.lit(1)).over(by_anchor))
-        .filter("nh > 1")
+        .withColumn("nc", F.sum("w").over(by_context))
+        .withColumn("lead", (F.row_number().over(by_context.orderBy(F.desc("w"), "doc_id", "s")) == 1) & (F.col("w") > 0))
+        .withColumn("nh", F.sum("w").over(by_anchor))
+        .filter("nh > 1 or w = 0")
         .withColumn("kh", F.sum(F.col("lead").cast("long")).over(by_anchor))
     )
     marked = common.stored(marked.drop("nh"), "anchors")
-    whole = marked.filter("nc > 1").select("doc_id", "s", (F.col("s") + F.col("n") + (length - 1)).alias("e"))
+    whole = marked.filter("nc > 1 or w = 0").select("doc_id", "s", (F.col("s") + F.col("n") + (length - 1)).alias("e"))
     differ = marked.filter("kh > 1 and lead")
     small, large = differ.filter(F.col("kh") <= block_most), differ.filter(F.col("kh") > block_most)
     spans = whole.unionByName(_sorted_blocks(_contexts(small, docs, length), length)).unionByName(_counted_windows(_contexts(large, docs, length), length))
