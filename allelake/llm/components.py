@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import common
@@ -15,19 +15,16 @@ def components(edges: DataFrame) -> DataFrame:
     folder; rounds end when the edges no longer change.
     """
     edges = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = common.materialize(edges)
-    seen = None
-    while True:
+    seen, now = None, ()
+    while seen != now:
+        seen, found = now, Observation()
         # Large star: larger neighbours of a node move to its least one.
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        edges = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: smaller neighbours of a node, and itself, move to the least of them.
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         edges = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
-        edges = common.materialize(edges)
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen:
-            break
-        seen = now
+        edges = common.materialize(edges.observe(found, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")))
+        now = tuple(found.get.values())
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
