@@ -140,14 +140,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def calibration(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that turn scores into log-odds: a logistic fit by Newton's method with a weak pull towards (1, 0)."""
-    w = np.array([1.0, 0.0])
+    """Slope (never negative) and offset that turn scores into log-odds: a logistic fit, drawn towards (1, 0), by damped Newton steps."""
     x = np.stack((score, np.ones_like(score)), 1)
-    for _ in range(25):
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + 0.5 * ((w - [1.0, 0.0]) ** 2).sum()
+
+    w = np.array([1.0, 0.0])
+    for _ in range(30):
         p = sigmoid(x @ w)
-        grad = x.T @ (p - y) + 1e-2 * (w - [1.0, 0.0])
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        w = w - np.linalg.solve(hess, grad)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (p - y) + (w - [1.0, 0.0]))
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
     return max(float(w[0]), 0.0), float(w[1])
 
 

@@ -175,14 +175,14 @@ def _unpacked(texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, part: int = PART) -> DataFrame:
     """One row per row of docs: doc_id, component_id (the least doc_id of its class), kept (doc_id is that).
 
-    A null text counts as empty. Equal texts are of one class, empty ones included; texts under five words link to equal
+    A null text counts as empty; a row without doc_id has equal texts only. Equal texts are of one class, empty ones included; texts under five words link to equal
     ones only. Copies of a text are settled by its digest and enter the search once. Buckets of any size are compared
     whole, in tiles of two parts, so no group meets in one task. Other columns are not read.
     """
     docs = common.texts(docs)
     sketched = common.materialize(_sketch(docs))
     once = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
-    keyed = common.materialize(_unpacked(once.filter(F.octet_length("keys") > 0)))
+    keyed = common.materialize(_unpacked(once.filter((F.octet_length("keys") > 0) & F.col("doc_id").isNotNull())))
     mark = F.xxhash64("doc_id")
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("n > 1")
     # Buckets with the same members are looked at once.
@@ -202,7 +202,7 @@ def classes(docs: DataFrame, part: int = PART) -> DataFrame:
     pairs = tiles.join(docs, "doc_id").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
     found = components.components(pairs)
     of_text = once.select("digest", F.col("doc_id").alias("id")).join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    return sketched.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return sketched.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, classifier, ordered, packing, rules, scoring, suffixes, tokenfile, vectors
+from . import bpe, classifier, licences, ordered, packing, rules, scoring, suffixes, tokenfile, vectors
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_vectors": vectors.op5_vectors,
     "op8_scores": scoring.op8_scores,
     "op7_classifier": classifier.op7_classifier,
+    "op6_licences": licences.op6_licences,
     "op9_token_file": tokenfile.op9_token_file,
     "op10_packing": packing.op10_packing,
 }

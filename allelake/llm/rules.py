@@ -69,14 +69,16 @@ def _repeat_words(placed: Column) -> Column:
     return F.size(F.array_distinct(spots))
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, row: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and failed, the bits of the failed rules.
 
     A null text has no words and no lines; an empty one neither. Repeated rows give repeated results; other columns are not
-    read. Windows are compared by 64-bit hashes of their words within one text.
+    read. Windows are compared by 64-bit hashes of their words within one text. With row the column row holds all columns of docs.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", *(c.alias(n) for n, c in measures(F.col("text")).items()))
+    carried = ["row"] if row else []
+    whole = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if row else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *whole)
+    rows = rows.select("doc_id", "text", *carried, *(c.alias(n) for n, c in measures(F.col("text")).items()))
     n = F.size("words")
     triples = F.transform(
         F.arrays_zip(F.col("words").alias("x"), F.slice("words", 2, F.greatest(n - 1, F.lit(0))).alias("y"), F.slice("words", 3, F.greatest(n - 2, F.lit(0))).alias("z")),
@@ -89,6 +91,7 @@ def ledger(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
+        *carried,
         F.slice(triples, 1, F.greatest(n - 2, F.lit(0))).alias("windows"),
     )
     rows = rows.withColumn("placed", _placed(F.col("windows"))).drop("windows")
@@ -112,9 +115,9 @@ def ablation(rows: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     return sums.select(F.inline(each))
 
 
-def judge(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+def judge(docs: DataFrame, policy: Policy = DEFAULT, row: bool = False) -> DataFrame:
     """The ledger, base_failed, and kept: the verdict of the policy where the base rules hold."""
-    rows = ledger(docs).withColumn("base_failed", fails(BASE))
+    rows = ledger(docs, row).withColumn("base_failed", fails(BASE))
     return rows.withColumn("kept", ~F.col("base_failed") & ~fails(policy))
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import anchors, common
 
@@ -306,25 +307,27 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block_most: int = BLOCK_MOST, keep: bool = True) -> DataFrame:
-    """What is left of each text, as UTF-8 bytes, without the bytes covered by strings of length bytes that also start elsewhere.
+    """What is left of each text without the bytes covered by strings of length bytes that also start elsewhere.
 
     A null text counts as empty; matches never cross documents; all copies of a repeat go, the first included. doc_id
-    tells documents apart: rows with one doc_id are copies if their texts are equal. Other columns are not read. keep: whether
-    the column kept, what is left, follows the digests.
+    tells documents apart: rows with one doc_id are copies if their texts are equal, and a row without one is neither
+    searched nor changed. With keep, the column kept follows, the text that is left (characters that a cut has split go),
+    and the column row with all columns of docs; without it, other columns are not read.
     """
-    docs = common.texts(docs)
-    copies, spans = repeats(docs, length, block_most)
+    whole = [F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row")] if keep else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *whole)
+    copies, spans = repeats(common.texts(docs).filter("doc_id is not null"), length, block_most)
     lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     flags = copies.distinct().withColumn("copied", F.lit(True))
-    ddl = RESULT + ", kept binary" * keep
-    schema = common.arrow_schema(ddl)
+    plain = common.arrow_schema(RESULT + ", kept string" * keep)
+    result = StructType([*StructType.fromDDL(RESULT), *([StructField("kept", StringType()), rows.schema["row"]] if keep else [])])
 
     def run(batches):
         for b in common.parts(batches):
             rows = []
             for key, text, spans, copied in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2), b.column(3).to_pylist()):
                 if copied:
-                    rows.append((key, len(text), len(text), 1, hashlib.sha256(b"").hexdigest(), b"")[: len(schema)])
+                    rows.append((key, len(text), len(text), 1, hashlib.sha256(b"").hexdigest(), "")[: len(plain)])
                     continue
                 kept, n_spans, removed = text, 0, 0
                 if spans.is_valid:
@@ -336,12 +339,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_most: int = BLOC
                     n_spans, removed = len(begin), int((end - begin).sum())
                     edges = [0, *np.stack((begin, end), 1).reshape(-1).tolist(), len(text)]
                     kept = b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2]))
-                rows.append((key, len(text), removed, n_spans, hashlib.sha256(kept).hexdigest(), kept)[: len(schema)])
+                rows.append((key, len(text), removed, n_spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if keep else "")[: len(plain)])
             if rows:
-                yield common.batch(schema, *zip(*rows))
+                made = common.batch(plain, *zip(*rows))
+                yield pa.RecordBatch.from_arrays([*made.columns, *b.columns[4:]], names=result.names)
 
-    whole = docs.join(lists, "doc_id", "left").join(flags, "doc_id", "left").select("doc_id", "text", "spans", "copied")
-    return whole.mapInArrow(run, ddl)
+    joined = rows.join(lists, "doc_id", "left").join(flags, "doc_id", "left").select("doc_id", "text", "spans", "copied", *(["row"] if keep else []))
+    return joined.mapInArrow(run, result)
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

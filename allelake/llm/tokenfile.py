@@ -17,6 +17,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from . import common, library
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 256, 90, 1 << 20
 MAGIC = b"PFR1"
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 HEAD = struct.Struct("<4sIII")
 BLOCK_HEAD = struct.Struct("<IHBH")
 
@@ -126,7 +129,7 @@ def write_segment(doc_ids: list[int], documents: list[bytes]) -> bytes:
     ids = np.frombuffer(b"".join(documents), "<u4")
     blocks, offsets = pack(ids)
     index = np.zeros(len(documents), [("doc", "<i8"), ("n", "<u4")])
-    index["doc"], index["n"] = doc_ids, [len(d) // 4 for d in documents]
+    index["doc"], index["n"] = [NO_ID if d is None else d for d in doc_ids], [len(d) // 4 for d in documents]
     start = HEAD.size + index.nbytes + 4 * len(offsets)
     return HEAD.pack(MAGIC, len(documents), len(ids), len(offsets) - 1) + index.tobytes() + (offsets + np.uint32(start)).astype("<u4").tobytes() + blocks
 
@@ -148,7 +151,7 @@ def write_ids(docs: DataFrame, vocabulary: str, end: int, segment_ids: int = SEG
     """The stored segments of all whole texts in ascending doc_id order.
 
     Columns: shard (ascending with doc_id), first (ids of the shard before the segment), n_ids, segment. A null text
-    counts as empty and holds the end id alone. Equal doc_ids stand together, in order of their text. A document that is longer
+    counts as empty and holds the end id alone; a null doc_id comes first. Equal doc_ids stand together, in order of their text. A document that is longer
     than segment_ids fills a segment by itself. An empty table gives no segments.
     """
     ddl = "shard int, first long, n_ids long, segment binary"
@@ -197,7 +200,7 @@ def read_ids(segments: DataFrame, keep_ids: bool = True) -> DataFrame:
                 begins = ends - counts
                 data = ids.astype("<u4").tobytes()
                 each = [data[4 * a : 4 * e] for a, e in zip(begins.tolist(), ends.tolist())]
-                yield common.batch(schema, doc_ids, begins + (b.column(0)[row].as_py() + b.column(1)[row].as_py()), counts, [zlib.crc32(x) for x in each], *[each] * keep_ids)
+                yield common.batch(schema, pa.array(doc_ids, mask=doc_ids == NO_ID), begins + (b.column(0)[row].as_py() + b.column(1)[row].as_py()), counts, [zlib.crc32(x) for x in each], *[each] * keep_ids)
 
     return segments.join(F.broadcast(before), "shard").select("before", "first", "segment").mapInArrow(run, ddl)
 

@@ -68,7 +68,7 @@ def classes(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE)
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"))
     fine = F.coalesce(
-        F.col("label").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0),
+        F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0),
         F.lit(False),
     )
     rows = rows.withColumn("v", F.when(fine, F.transform("v", lambda x: x + F.lit(0.0))))
@@ -113,7 +113,7 @@ def classes(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE)
     )
     settled = valid.select("vec_id", "label", "digest").join(of_class, ["label", "digest"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return settled.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return settled.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

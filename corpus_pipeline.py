@@ -1,19 +1,63 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+A stage takes (spark, docs, sf_dir) and works on all that the stages before it have kept; all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from allelake.llm import classifier, common, ordered, packing, rules, suffixes
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps (operator 7)."""
+    model = classifier.fit(docs, common.table(spark, sf_dir, "labels"))
+    scored = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), classifier.scores(model).alias("s"))
+    return scored.filter("s.kept").select("row.*")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the default policy keeps (operator 4)."""
+    return rules.judge(docs, row=True).filter("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class (operator 3): the one with the least doc_id."""
+    copies = ordered.classes(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that repeat (operator 2)."""
+    kept = suffixes.remove_repeats(docs).select("row.*", F.col("kept").alias("text"))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes (operator 10)."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 0)
 
-from allelake.llm import common
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("packing", packed),
+]
 #: Classifier and packing cannot be expressed in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = common.stored(docs, f"pipeline-{k}")
