@@ -27,8 +27,9 @@ def _add(sql: str):
     return put
 
 
-def _facet(name: str, text: str, sql: str, rows=lens.wide):
-    QUERIES[name] = lambda spark, sf_dir: facets.facet(rows(spark, sf_dir), L.facets(text)[0])
+def _facet(name: str, text: str, sql: str):
+    levels = L.facets(text)[0]
+    QUERIES[name] = lambda spark, sf_dir: facets.facet(lens.wide(spark, sf_dir, facets.parts(levels)), levels)
     ORACLE_SQL[name] = lens.SQL + sql
 
 
@@ -37,21 +38,21 @@ _FLAG_WHERE = "type IN ('SNV', 'INDEL', 'INSERTION', 'DELETION') AND chrom IN ('
 
 @_add(lens.SQL + f"SELECT chrom AS level_1, type AS level_2, count(*) AS n FROM variants v WHERE {_FLAG_WHERE} GROUP BY GROUPING SETS ((1, 2), (1))")
 def a02_nested_facet(spark, sf_dir):
-    rows = filters.query(lens.wide(spark, sf_dir), {"type": "SNV,INDEL", "region": "1,2,3", "filter": "PASS", "sample": "1,2"})
+    rows = filters.query(lens.wide(spark, sf_dir, ("calls",)), {"type": "SNV,INDEL", "region": "1,2,3", "filter": "PASS", "sample": "1,2"})
     return facets.facet(rows, L.facets("chromosome>>type")[0])
 
 
 _facet("a03_categorical", "biotype", "SELECT level_1, count(*) AS n FROM (SELECT DISTINCT v.key, coalesce(biotype, 'other') AS level_1 FROM variants v LEFT JOIN cts USING (key)) GROUP BY 1")
 _facet("a03_nested_values", "chromosome[1,2]>>consequenceType", "SELECT chrom AS level_1, term AS level_2, count(DISTINCT key) AS n FROM (SELECT v.key, chrom, coalesce(term, 'other') AS term FROM variants v LEFT JOIN cts USING (key) WHERE chrom IN ('1', '2')) GROUP BY GROUPING SETS ((1, 2), (1))")
-_facet("a04_chromosome", "chromosome", "SELECT chrom AS level_1, count(*) AS n FROM variants GROUP BY 1", lens.variants)
-_facet("a05_type", "type[SNV,MNV]", "SELECT type AS level_1, count(*) AS n FROM variants WHERE type IN ('SNV', 'MNV') GROUP BY 1", lens.variants)
-_facet("a07_density", "chromDensity:200000", "SELECT chrom || ':' || (start // 200000 * 200000) AS level_1, count(*) AS n FROM variants GROUP BY 1", lens.variants)
+_facet("a04_chromosome", "chromosome", "SELECT chrom AS level_1, count(*) AS n FROM variants GROUP BY 1")
+_facet("a05_type", "type[SNV,MNV]", "SELECT type AS level_1, count(*) AS n FROM variants WHERE type IN ('SNV', 'MNV') GROUP BY 1")
+_facet("a07_density", "chromDensity:200000", "SELECT chrom || ':' || (start // 200000 * 200000) AS level_1, count(*) AS n FROM variants GROUP BY 1")
 _facet("a09_genotype", "genotype", "SELECT level_1, count(*) AS n FROM (SELECT DISTINCT v.key, coalesce(replace(gt, '|', '/'), 'other') AS level_1 FROM variants v LEFT JOIN calls USING (key)) GROUP BY 1")
-_facet("a10_length", "length", "SELECT CASE WHEN n < 1 THEN '<1' WHEN n < 5 THEN '[1, 5)' WHEN n < 10 THEN '[5, 10)' WHEN n < 20 THEN '[10, 20)' WHEN n < 50 THEN '[20, 50)' ELSE '[50, inf)' END AS level_1, count(*) AS n FROM (SELECT \"end\" - start + 1 AS n FROM variants) GROUP BY 1", lens.variants)
-_facet("a12_average", "type>>avg(cadd_scaled)", "SELECT type AS level_1, count(*) AS n, avg(cadd) AS value FROM variants GROUP BY 1", lens.variants)
+_facet("a10_length", "length", "SELECT CASE WHEN n < 1 THEN '<1' WHEN n < 5 THEN '[1, 5)' WHEN n < 10 THEN '[5, 10)' WHEN n < 20 THEN '[10, 20)' WHEN n < 50 THEN '[20, 50)' ELSE '[50, inf)' END AS level_1, count(*) AS n FROM (SELECT \"end\" - start + 1 AS n FROM variants) GROUP BY 1")
+_facet("a12_average", "type>>avg(cadd_scaled)", "SELECT type AS level_1, count(*) AS n, avg(cadd) AS value FROM variants GROUP BY 1")
 QUERIES["a12_average"] = (lambda f: lambda spark, sf_dir: f(spark, sf_dir).withColumn("value", F.round("value", 6)))(QUERIES["a12_average"])
 ORACLE_SQL["a12_average"] = lens.SQL + "SELECT type AS level_1, count(*) AS n, round(avg(cadd), 6) AS value FROM variants GROUP BY 1"
-_facet("a12_percentile", "type>>percentile(popFreq)", "SELECT type AS level_1, count(*) AS n, quantile_cont(freq, 0.5) AS value FROM variants GROUP BY 1", lens.variants)
+_facet("a12_percentile", "type>>percentile(popFreq)", "SELECT type AS level_1, count(*) AS n, quantile_cont(freq, 0.5) AS value FROM variants GROUP BY 1")
 QUERIES["a12_percentile"] = (lambda f: lambda spark, sf_dir: f(spark, sf_dir).withColumn("value", F.round("value", 6)))(QUERIES["a12_percentile"])
 ORACLE_SQL["a12_percentile"] = lens.SQL + "SELECT type AS level_1, count(*) AS n, round(quantile_cont(freq, 0.5), 6) AS value FROM variants GROUP BY 1"
 
@@ -71,7 +72,7 @@ def a08_titv(spark, sf_dir):
 
 @_add(lens.SQL + "SELECT biotype AS level_1, count(DISTINCT key) AS n FROM cts WHERE term = 'missense_variant' GROUP BY 1")
 def a11_filter_transcript(spark, sf_dir):
-    rows = lens.wide(spark, sf_dir).withColumn("cts", F.filter("cts", lambda c: c["term"] == "missense_variant")).filter(F.size("cts") > 0)
+    rows = lens.wide(spark, sf_dir, ("cts",)).withColumn("cts", F.filter("cts", lambda c: c["term"] == "missense_variant")).filter(F.size("cts") > 0)
     return facets.facet(rows, L.facets("biotype")[0])
 
 

@@ -14,7 +14,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _filter(name: str, params: dict, where: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: filters.query(lens.wide(spark, sf_dir), params).select("key")
+    QUERIES[name] = lambda spark, sf_dir: filters.query(lens.wide(spark, sf_dir, filters.parts(params)), params).select("key")
     ORACLE_SQL[name] = f"{lens.SQL} SELECT key FROM variants v WHERE {where}"
 
 
@@ -135,7 +135,7 @@ ORACLE_SQL["p06_page"] = lens.SQL + "SELECT key, chrom, start FROM variants WHER
 
 def p02_projection(spark, sf_dir):
     """Two samples' genotypes, unknown ones as ./. , for variants of one region."""
-    rows = filters.query(lens.wide(spark, sf_dir), {"region": "3:1-300000"})
+    rows = filters.query(lens.wide(spark, sf_dir, ("calls",)), {"region": "3:1-300000"})
     gt = lambda s: F.coalesce(F.get(F.filter("calls", lambda c: c["sample"] == s), 0)["gt"], F.lit("./.")).alias(f"gt_{s}")
     return rows.select("key", gt(1), gt(2))
 
@@ -146,7 +146,7 @@ ORACLE_SQL["p02_projection"] = lens.SQL + "SELECT v.key, coalesce(max(CASE WHEN
 
 def p04_sample_page(spark, sf_dir):
     """Of each variant the third and fourth sample in order."""
-    rows = lens.wide(spark, sf_dir)
+    rows = lens.wide(spark, sf_dir, ("calls",))
     page = F.slice(F.array_sort(F.transform("calls.sample", lambda s: s)), 3, 2)
     return rows.select("key", F.explode(page).alias("sample"))
 

@@ -43,7 +43,8 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a variant and sample: the best of its line items, by a total order."""
     order = [F.expr("l_discount <= 0.05").desc(), F.desc("l_extendedprice"), F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("l_quantity")]
-    rows = read(spark, sf_dir, "lineitem").withColumn("sample", F.col("l_suppkey") % 20)
+    # Dealt out by variant at once: the window, and what groups or joins by variant afterwards, need no further shuffle.
+    rows = read(spark, sf_dir, "lineitem").repartition("l_orderkey").withColumn("sample", F.col("l_suppkey") % 20)
     rows = rows.withColumn("rn", F.row_number().over(W.partitionBy("l_orderkey", "sample").orderBy(*order))).filter("rn = 1")
     return rows.selectExpr(
         "l_orderkey AS key",
@@ -96,13 +97,20 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("chrom", "pos").agg(F.sum("v").cast("long").alias("depth"))
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants with nested consequences, evidence and calls: the row that filters are compiled for."""
+PARTS = ("cts", "evidence", "calls")
+
+
+def wide(spark: SparkSession, sf_dir: str, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """Variants with nested consequences, evidence and calls: the row that filters are compiled for.
+
+    Parts that are not asked for are neither read nor joined.
+    """
     fold = lambda df: df.groupBy("key").agg(F.collect_list(F.struct(*(c for c in df.columns if c != "key"))).alias("rows"))
     rows = variants(spark, sf_dir)
-    for name, df in (("cts", consequences(spark, sf_dir)), ("evidence", clinical(spark, sf_dir)), ("calls", calls(spark, sf_dir))):
-        rows = rows.join(fold(df).withColumnRenamed("rows", name), "key", "left")
-    return rows.withColumns({n: F.coalesce(n, F.array()) for n in ("cts", "evidence", "calls")})
+    for name, make in (("cts", consequences), ("evidence", clinical), ("calls", calls)):
+        if name in parts:
+            rows = rows.join(fold(make(spark, sf_dir)).withColumnRenamed("rows", name), "key", "left").withColumn(name, F.coalesce(name, F.array()))
+    return rows
 
 
 #: The same tables in DuckDB's SQL, for the queries' counterparts.

@@ -55,6 +55,14 @@ FUNCTIONS = {
 }
 
 
+LOOKS_INTO = {"cts": ("gene", "biotype", "consequenceType", "transcriptFlag"), "evidence": ("clinicalSignificance",), "calls": ("genotype", "sample")}
+
+
+def parts(levels: list[L.Facet]) -> tuple[str, ...]:
+    """The nested arrays that a facet needs."""
+    return tuple(p for p, names in LOOKS_INTO.items() if any(x.name in names for x in levels))
+
+
 def _value(level: L.Facet) -> tuple[Column, bool]:
     if level.name in NUMBERS:
         c = F.col(NUMBERS[level.name])

@@ -260,6 +260,19 @@ SIMPLE = {
 POSITION = {"region", "id"}
 
 
+#: Which nested arrays a parameter looks into.
+LOOKS_INTO = {
+    "cts": {"gene", "biotype", "ct", "transcriptFlag", "annotationExists", "xref", "proteinSubstitution"},
+    "evidence": {"clinical", "clinicalSignificance", "clinicalConfirmedStatus", "xref"},
+    "calls": {"genotype", "sample", "sampleData", "file", "fileData", "filter", "qual"},
+}
+
+
+def parts(params: dict) -> tuple[str, ...]:
+    """The nested arrays that a query needs; a caller can leave the others out of its rows."""
+    return tuple(p for p, names in LOOKS_INTO.items() if names & set(params))
+
+
 def condition(params: dict) -> Column:
     """All parameters together. Region and id are alternatives of place; a gene without one is a place of its own."""
     rest = dict(params)
