@@ -145,3 +145,20 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
     assert pending.windows(rows, "t", "1 minute", "5 minutes", "id").count() == 3
+
+
+def test_engine(spark):
+    from allelake import lens
+    from allelake.engine import Engine, project
+
+    sf = "/root/testdata/sf0.001"
+    e = Engine(lambda parts: lens.wide(spark, sf, parts), lens.calls(spark, sf), lens.members(spark))
+    snv = lens.variants(spark, sf).filter("type = 'SNV'")
+    assert e.count({"type": "SNV"}) == snv.count()
+    assert [r.key for r in e.query({"type": "SNV"}, include=("key",), limit=5).collect()] == [r.key for r in snv.orderBy(V.chrom_order("chrom"), "start", "end", "reference", "alternate", "key").limit(5).collect()]
+    estimate, n = e.approximate_count({"type": "SNV", "release": "2"}, {"type": "SNV"}, sample=100_000)
+    assert (estimate, n) == (snv.filter("release <= 2").count(), snv.count())
+    assert e.facet({"type": "SNV"}, "chromosome;type>>genotype")["chromosome"].agg(F.sum("n")).first()[0] == snv.count()
+    assert "gene" not in project(lens.wide(spark, sf, ("cts",)), exclude=("cts.gene",)).schema["cts"].dataType.elementType.names
+    with pytest.raises(L.LanguageError):
+        e.query({}, limit=5001)
