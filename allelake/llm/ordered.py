@@ -116,26 +116,36 @@ def links(documents: list[bytes], side: np.ndarray, both: bool) -> list[tuple[in
     """Links that connect what is alike. both: pairs within a side count, else only those of different sides."""
     tagged, cut = shingles(documents)
     n, size = len(documents), np.diff(cut)
-    # Labelled shingles occur once in a document, so shared ones are counted by products of incidence columns.
     _, column = np.unique(tagged, return_inverse=True)
     row = np.repeat(np.arange(n), size)
     often = np.bincount(column, minlength=1) if len(column) else np.zeros(1, np.int64)
-    keep = often[column] > 1
-    column, row = column[keep], row[keep]
-    shared = np.zeros((n, n), np.float32)
+    # Texts that are alike share one of their rarest shingles: so many that the rest cannot make up the threshold.
+    order = np.lexsort((column, often[column], row))
+    rare = np.arange(len(order)) - np.repeat(cut[:-1], size) < np.repeat(size - np.ceil(THRESHOLD * size - 1e-9).astype(np.int64) + 1, size)
+    first, owner = column[order][rare], row[order][rare]
+    shared_first = np.bincount(first, minlength=len(often))[first] > 1
+    active = np.zeros(n, bool)
+    active[owner[shared_first]] = True
+    place = np.cumsum(active) - 1
+    # Labelled shingles occur once in a document, so shared ones are counted by products of incidence columns.
+    keep = active[row] & (often[column] > 1)
+    column, row = column[keep], place[row[keep]]
+    live, size = np.flatnonzero(active), size[active]
+    m = len(live)
+    shared = np.zeros((m, m), np.float32)
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    step = max(1, (1 << 22) // max(n, 1))
+    step = max(1, (1 << 22) // max(m, 1))
     edges = np.append(np.flatnonzero(np.diff(column, prepend=-1)), len(column))
     for g in range(0, len(edges) - 1, step):
         a, b = edges[g], edges[min(g + step, len(edges) - 1)]
-        grid = np.zeros((n, min(step, len(edges) - 1 - g)), np.float32)
+        grid = np.zeros((m, min(step, len(edges) - 1 - g)), np.float32)
         grid[row[a:b], np.cumsum(np.diff(column[a:b], prepend=column[a]) != 0)] = 1
         shared += grid @ grid.T
     enough = shared >= THRESHOLD * (size[:, None] + size[None, :] - shared) - 1e-6
     enough &= (size > 0)[:, None] & (size > 0)[None, :]
     forest, out = Forest(n), []
-    for i, j in np.argwhere(np.triu(enough, 1)).tolist():
+    for i, j in live[np.argwhere(np.triu(enough, 1))].tolist():
         if (not both and side[i] == side[j]) or forest.root(i) == forest.root(j):
             continue
         if alike(tagged[cut[i] : cut[i + 1]], tagged[cut[j] : cut[j + 1]]):
