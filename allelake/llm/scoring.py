@@ -39,7 +39,7 @@ def tokens(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(cut[-1], END, np.uint64)
     inside = np.ones(cut[-1], bool)
     inside[cut[:-1]] = inside[cut[1:] - 1] = False
-    step = 1 << 20
+    step = 1 << 17  # words hashed together, which bounds the tables of powers
     at = np.flatnonzero(inside)
     for i in range(0, len(first), step):
         a, b = first[i : i + step], until[i : i + step]
@@ -49,14 +49,14 @@ def tokens(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(token: np.ndarray, cut: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order: keys of the n-grams, and the positions of their last tokens. A start is part of a history only."""
-    place = np.arange(len(token)) - np.repeat(cut[:-1], np.diff(cut))
+    place = (np.arange(len(token)) - np.repeat(cut[:-1], np.diff(cut))).astype(np.int32)
     out, key = [], token
     for k in range(1, order + 1):
         if k > 1:
             longer = np.zeros_like(key)
             longer[k - 1 :] = common.mixed(token[: len(token) - k + 1] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + key[k - 1 :])
             key = longer
-        at = np.flatnonzero(place >= max(1, k - 1))
+        at = np.flatnonzero(place >= max(1, k - 1)).astype(np.int32)
         out.append((key[at], at))
     return out
 
@@ -148,7 +148,7 @@ class Automaton:
         base = np.zeros(size)
         base[at[0]] = self.root_weights()[which[0]]
         weight = base.copy()
-        history = np.full(size, -1, np.int64)
+        history = np.full(size, -1, np.int32)
         history[at[0]] = which[0]
         end = which[0][-1] if len(which[0]) else 0
         for k in range(2, len(self.counts) + 1):
@@ -160,7 +160,7 @@ class Automaton:
             c, h = self.counts[k - 1][which[k - 1]], self.counts[k - 2][before]
             arc = np.log10((c + self.mu * 10.0 ** weight[spot]) / (h + self.mu))
             weight[spot] = np.where((c > 0) & (h > 0), arc, failed)
-            history = np.full(size, -1, np.int64)
+            history = np.full(size, -1, np.int32)
             history[spot] = which[k - 1]
         return base, weight
 
@@ -182,7 +182,7 @@ def _score(order: int, n: int, v: int, mu: float):
             counts.append(np.frombuffer(b"".join(x[2] for x in rows if x[0] == k), "<u4" if k > 1 else "<i8").astype(np.float64))
             turn = np.argsort(keys)
             s = keys[turn]
-            index = np.empty(len(keys), np.int64)
+            index = np.empty(len(keys), np.int32)
             index[turn] = np.cumsum(np.append(True, s[1:] != s[:-1])[: len(s)]) - 1
             which.append(index)
             spots.append(at)
