@@ -14,6 +14,7 @@ import io
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,7 +107,7 @@ class Rows:
     def __init__(self, vocabulary: np.ndarray, hashes: np.ndarray, counts: np.ndarray, dense: np.ndarray):
         at = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
         hit = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
-        self.row, self.column = np.repeat(np.arange(len(counts)), counts)[hit], at[hit]
+        self.row, self.column = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[hit], at[hit].astype(np.int32)
         self.dense, self.n = dense, len(counts)
 
     def score(self, model: Model) -> np.ndarray:
@@ -239,14 +240,16 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
             yield common.batch(schema, y, b.column(5), [hashes[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], [d.tobytes() for d in dense], [page[5 * i : 5 * i + 5].tobytes() for i in range(len(data))])
 
     def train(batches):
-        got = pa.Table.from_batches(list(batches), schema=schema)
+        got = pa.Table.from_batches(list(batches), schema=schema)  # bounded: the sample
         y = got["y"].to_numpy().astype(np.int64)
         if not (y == 0).any() or not (y == 1).any():
             return
         stack = lambda c, kind: np.frombuffer(b"".join(got[c].to_pylist()), kind)
-        counts = np.array([len(x) // 8 for x in got["hashes"].to_pylist()])
+        counts = pc.binary_length(got["hashes"]).to_numpy() // 8
         text = stack("hashes", np.uint64), counts, stack("dense", np.float64).reshape(-1, DENSE)
-        model = cotrain(text, (stack("page", np.uint64), np.full(len(y), 5)), y, got["left_out"].to_numpy() & (y >= 0))
+        page, left_out = (stack("page", np.uint64), np.full(len(y), 5)), got["left_out"].to_numpy() & (y >= 0)
+        del got
+        model = cotrain(text, page, y, left_out)
         data = io.BytesIO()
         np.savez(data, **model)
         yield pa.RecordBatch.from_arrays([pa.array([data.getvalue()], pa.binary())], ["model"])
