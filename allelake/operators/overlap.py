@@ -28,12 +28,23 @@ def shared_percent(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("percent", 100.0 * shared / (F.col("r_end") - F.col("r_start") + 1))
 
 
-def merged(intervals: DataFrame, gap: int = 1) -> DataFrame:
-    """Overlapping and touching intervals as one: chrom, start, end, n."""
-    order = W.partitionBy("chrom").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = intervals.select("chrom", "start", "end").withColumn("new", F.coalesce((F.col("start") > reach + gap).cast("int"), F.lit(1)))
-    return marked.withColumn("island", F.sum("new").over(order)).groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("island")
+def merged(intervals: DataFrame, gap: int = 1, width: int = BIN, totals: tuple[str, ...] = ()) -> DataFrame:
+    """Overlapping and touching intervals as one: chrom, start, end, n, and sums of the columns in totals.
+
+    Windows go over the rows of one bin; what reaches into a bin from before it comes from one row a bin, so a chromosome
+    never meets in one task as a whole.
+    """
+    rows = intervals.select("chrom", "start", "end", *totals, F.floor(F.col("start") / width).alias("bin"))
+    earlier = W.partitionBy("chrom").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = rows.groupBy("chrom", "bin").agg(F.max("end").alias("top")).select("chrom", "bin", F.max("top").over(earlier).alias("before"))
+    order = W.partitionBy("chrom", "bin").orderBy("start", "end")
+    reach = F.greatest("before", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    marked = rows.join(bins, ["chrom", "bin"]).withColumn("new", F.coalesce((F.col("start") > reach + gap).cast("int"), F.lit(1)))
+    marked = marked.withColumn("k", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    offsets = marked.groupBy("chrom", "bin").agg(F.sum("new").alias("n")).select("chrom", "bin", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    numbered = marked.join(offsets, ["chrom", "bin"]).withColumn("island", F.col("k") + F.col("offset"))
+    sums = [F.sum(c).cast("long").alias(c) for c in totals]
+    return numbered.groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), *sums).drop("island")
 
 
 def common(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -42,14 +53,19 @@ def common(a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.select("chrom", F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"))
 
 
-def nearby(points: DataFrame, window: int, *by: str) -> DataFrame:
-    """Of each row, how many rows of its group start within window positions of it."""
-    around = W.partitionBy(*by).orderBy("start").rangeBetween(-window, window)
-    return points.withColumn("n_near", F.count(F.lit(1)).over(around) - 1)
+def nearby(points: DataFrame, window: int, *by: str, width: int = BIN) -> DataFrame:
+    """Of each row, how many rows of its group start within window positions of it.
+
+    Rows are dealt out by group and bin, and stand as guests in the neighbouring bin that their window reaches.
+    """
+    width = max(width, window + 1)
+    bin_of = lambda shift: F.floor((F.col("start") + shift) / width)
+    placed = points.withColumn("bin_", F.explode(F.array_distinct(F.array(bin_of(-window), bin_of(0), bin_of(window)))))
+    around = W.partitionBy(*by, "bin_").orderBy("start").rangeBetween(-window, window)
+    return placed.withColumn("n_near", F.count(F.lit(1)).over(around) - 1).filter(F.col("bin_") == bin_of(0)).drop("bin_")
 
 
 def islands(depth: DataFrame, low: int, high: int) -> DataFrame:
-    """Runs of neighbouring positions whose depth lies in [low, high]: chrom, start, end, and their mean depth."""
-    inside = depth.filter(F.col("depth").between(low, high))
-    run = F.col("pos") - F.row_number().over(W.partitionBy("chrom").orderBy("pos"))
-    return inside.withColumn("run", run).groupBy("chrom", "run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.sum("depth").cast("long").alias("total")).drop("run")
+    """Runs of neighbouring positions whose depth lies in [low, high]: chrom, start, end, and their total depth."""
+    inside = depth.filter(F.col("depth").between(low, high)).select("chrom", F.col("pos").alias("start"), F.col("pos").alias("end"), F.col("depth").alias("total"))
+    return merged(inside, totals=("total",)).drop("n")

@@ -79,8 +79,7 @@ def merge_files(calls: DataFrame) -> DataFrame:
 
 def phased_near(rows: DataFrame, window: int) -> DataFrame:
     """Of each phased call, how many other phased calls of its sample, chrom and phase set start within window positions."""
-    around = W.partitionBy("sample", "chrom", "ps").orderBy("start").rangeBetween(-window, window)
-    return rows.filter("ps IS NOT NULL").withColumn("n_phased", F.count(F.lit(1)).over(around) - 1)
+    return overlap.nearby(rows.filter("ps IS NOT NULL"), window, "sample", "chrom", "ps").withColumnRenamed("n_near", "n_phased")
 
 
 def prunable(stats: DataFrame, variants: DataFrame) -> DataFrame:

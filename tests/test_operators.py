@@ -58,6 +58,22 @@ def test_overlaps(spark, width):
     assert {(r.chrom, p) for r in overlap.common(frame(a), frame(b)).collect() for p in range(r.start, r.end + 1)} == want
 
 
+@pytest.mark.parametrize("width", [7, 64, 1 << 14])
+def test_merged_and_nearby(spark, width):
+    rows = _intervals(80, 4)
+    frame = spark.createDataFrame(rows, "id long, chrom string, start long, end long")
+    want = []
+    for chrom in "12":
+        for s, e in sorted((s, e) for _, c, s, e in rows if c == chrom):
+            if want and want[-1][0] == chrom and s <= want[-1][2] + 1:
+                want[-1] = (chrom, want[-1][1], max(want[-1][2], e), want[-1][3] + 1)
+            else:
+                want.append((chrom, s, e, 1))
+    assert sorted(tuple(r) for r in overlap.merged(frame, width=width).select("chrom", "start", "end", "n").collect()) == want
+    near = {r.id: r.n_near for r in overlap.nearby(frame, 20, "chrom", width=width).collect()}
+    assert near == {i: sum(c == d and abs(s - t) <= 20 for _, d, t, _ in rows) - 1 for i, c, s, _ in rows}
+
+
 def test_mendelian_codes(spark):
     cases = [("0/1", "0/0", "0/1", 0), ("1/1", "0/0", "0/1", 1), ("1/1", "0/1", "0/0", 2), ("0/1", "0/0", "0/0", 3), ("2/3", "0/1", "0/1", 4), ("0/0", "1/1", "0/0", 1), ("0/0", "1/1", "1/1", 4)]
     rows = spark.createDataFrame(cases, "c string, f string, m string, want int")
