@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from . import common, components
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Tuples in a sketch, and shingles in a tuple. A pair at the threshold is missed with a chance of about (1 - 0.8^4)^20, 1 in 40,000.
-TUPLES, TAKEN = 20, 4
+#: Tuples in a sketch, and shingles in a tuple. Shingles are drawn without replacement: two texts that share i of u shingles
+#: in all are missed with a chance of (1 - C(i, 4) / C(u, 4))^24, unless both have SHORT at most, which are never missed.
+TUPLES, TAKEN = 24, 4
+#: Texts of so many shingles at most also meet by each of their rarest shingles.
+SHORT = 40
 #: Texts of a bucket that meet in one task are two parts of about so many.
 PART = 512
 CHUNK = 1 << 20
@@ -154,7 +157,7 @@ def links(documents: list[bytes], side: np.ndarray, both: bool) -> list[tuple[in
     return out
 
 
-SKETCH = "doc_id long, digest binary, keys binary"
+SKETCH = "doc_id long, digest binary, keys binary, few binary"
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
@@ -165,12 +168,13 @@ def _sketch(docs: DataFrame) -> DataFrame:
             keys, data = b.column(0), b.column(1).cast(pa.binary()).to_pylist()
             tagged, cut = shingles(data)
             made = iter(sketches(tagged, cut))
-            yield common.batch(schema, keys, [hashlib.md5(x).digest() for x in data], [next(made).tobytes() if n else b"" for n in np.diff(cut).tolist()])
+            few = [tagged[i:j].tobytes() if j - i <= SHORT else b"" for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            yield common.batch(schema, keys, [hashlib.md5(x).digest() for x in data], [next(made).tobytes() if n else b"" for n in np.diff(cut).tolist()], few)
 
     return docs.mapInArrow(run, SKETCH)
 
 
-def _unpacked(texts: DataFrame) -> DataFrame:
+def _unpacked(texts: DataFrame, column: str = "keys") -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64())])
 
     def run(batches):
@@ -179,7 +183,21 @@ def _unpacked(texts: DataFrame) -> DataFrame:
             counts = np.array([len(x) // 8 for x in data], np.int64)
             yield common.batch(schema, np.repeat(b.column(0).to_numpy(), counts), np.frombuffer(b"".join(data), "<i8"))
 
-    return texts.select("doc_id", "keys").mapInArrow(run, "doc_id long, key long")
+    return texts.select("doc_id", column).mapInArrow(run, "doc_id long, key long")
+
+
+def _rarest(texts: DataFrame) -> DataFrame:
+    """Of each short text its rarest shingles, so many that the rest cannot make up the threshold.
+
+    Two texts that are alike share THRESHOLD of either's shingles at least, so by one order of all shingles they share
+    one of these.
+    """
+    all_ = _unpacked(texts.filter(F.octet_length("few") > 0), "few")
+    placed = all_.join(all_.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    ordered = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("s"))
+    most = F.size("s") - F.ceil(F.size("s") * THRESHOLD - 1e-9).cast("int") + 1
+    rare = F.filter(F.slice("s", F.lit(1), most), lambda x: x["n"] > 1)
+    return ordered.select("doc_id", F.explode(rare).alias("x")).select("doc_id", F.xxhash64(F.lit("few"), "x.key").alias("key"))
 
 
 def classes(docs: DataFrame, part: int = PART) -> DataFrame:
@@ -191,8 +209,9 @@ def classes(docs: DataFrame, part: int = PART) -> DataFrame:
     """
     docs = common.texts(docs)
     sketched = common.materialize(_sketch(docs))
-    once = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
-    keyed = common.materialize(_unpacked(once.filter((F.octet_length("keys") > 0) & F.col("doc_id").isNotNull())))
+    once = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("few").alias("few"))
+    searched = once.filter((F.octet_length("keys") > 0) & F.col("doc_id").isNotNull())
+    keyed = common.materialize(_unpacked(searched).unionByName(_rarest(searched)))
     mark = F.xxhash64("doc_id")
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("n > 1")
     # Buckets with the same members are looked at once.

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -132,6 +133,25 @@ def test_op3(spark, part):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_op3_short_texts(spark):
+    rows = []
+    for k in range(400):
+        words = [f"s{k}.{i}" for i in range(9)]
+        rows += [(len(rows), " ".join(words[:8])), (len(rows) + 1, " ".join(words))]
+    for k in range(100):  # 8 shared of 10
+        words = [f"t{k}.{i}" for i in range(14)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:12]))]
+    got = {r.doc_id: r.component_id for r in ordered.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_op3_long_texts_miss_rate():
+    least = 1 / 100_000  # what 16 tuples of 3 missed of long texts
+    for u in range(ordered.SHORT + 1, 2000):
+        i = -(-8 * u // 10)
+        assert (1 - math.comb(i, ordered.TAKEN) / math.comb(u, ordered.TAKEN)) ** ordered.TUPLES < least
+
+
 def test_op3_edges(clashing, nothing):
     got = {r.doc_id: r.component_id for r in ordered.classes(clashing).collect()}
     assert {d: c for d, c in got.items() if d is not None} == _classes(edge_rows()) and None in got
