@@ -39,6 +39,8 @@ class Policy:
 
 BASE = Policy("base", 1, ("few_words", "repeated_windows"))
 DEFAULT = Policy("default", 1, tuple(BITS))
+#: For corpora: length alone says nothing about quality.
+CORPUS = Policy("corpus", 1, tuple(r for r in BITS if r != "many_words"))
 
 
 def measures(text: Column) -> dict[str, Column]:

@@ -34,6 +34,12 @@ def test_stages(spark, tmp_path):
         docs, before = made, made.count()
 
 
+def test_rules_keep_long_documents(spark):
+    text = " ".join(f"word{i}" for i in range(200_001))
+    docs = spark.createDataFrame([(1, text), (2, "too short")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, SF).collect()] == [1]
+
+
 def test_clashing_columns(spark, clashing, nothing):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         for docs in (clashing, nothing):
