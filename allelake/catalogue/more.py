@@ -178,7 +178,16 @@ def a20_aggregated(spark, sf_dir):
 @_add(" SELECT key, string_agg(DISTINCT gene, ',' ORDER BY gene) AS genes, string_agg(DISTINCT gene || '_' || term, ',' ORDER BY gene || '_' || term) AS pairs FROM cts WHERE key % 5 = 0 GROUP BY 1")
 def x09_search_document(spark, sf_dir):
     """The flat document of a variant: its genes, and genes with their terms."""
-    rows = lens.consequences(spark, sf_dir).filter("key % 5 = 0")
+    return _search_documents(lens.consequences(spark, sf_dir).filter("key % 5 = 0"))
+
+
+@_add(" SELECT key, string_agg(DISTINCT gene, ',' ORDER BY gene) AS genes, string_agg(DISTINCT gene || '_' || term, ',' ORDER BY gene || '_' || term) AS pairs FROM cts GROUP BY 1")
+def x09_search_document_all(spark, sf_dir):
+    """The same of every variant."""
+    return _search_documents(lens.consequences(spark, sf_dir))
+
+
+def _search_documents(rows):
     text = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     return rows.groupBy("key").agg(text("gene").alias("genes"), text(F.concat_ws("_", "gene", "term")).alias("pairs"))
 

@@ -86,6 +86,11 @@ def x06_pending(spark, sf_dir):
     return lens.variants(spark, sf_dir).filter("key % 4 = 1").join(lens.clinical(spark, sf_dir), "key", "left_anti").select("key")
 
 
+@_add(lens.SQL + "SELECT key FROM variants WHERE key NOT IN (SELECT key FROM evidence)")
+def x06_pending_all(spark, sf_dir):
+    return lens.variants(spark, sf_dir).join(lens.clinical(spark, sf_dir), "key", "left_anti").select("key")
+
+
 @_add(lens.SQL + "SELECT sample, start // 100000 AS batch, replace(gt, '|', '/') AS gt, count(*) AS n FROM calls JOIN variants USING (key) WHERE gt <> '0/0' GROUP BY 1, 2, 3")
 def x01_sample_index(spark, sf_dir):
     rows = lens.calls(spark, sf_dir).join(lens.variants(spark, sf_dir), "key").filter(V.genotype_class(F.col("gt")) != "HOM_REF")

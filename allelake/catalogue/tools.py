@@ -59,10 +59,20 @@ def e19_sex(spark, sf_dir):
 
 @_add(lens.SQL + "SELECT key, CASE WHEN gene IN ('G1', 'G2', 'G3', 'G4', 'G5') AND term IN ('stop_gained', 'frameshift_variant', 'splice_donor_variant') THEN 'TIER1' WHEN gene IN ('G1', 'G2', 'G3', 'G4', 'G5') AND term = 'missense_variant' THEN 'TIER2' WHEN term IN ('stop_gained', 'frameshift_variant', 'splice_donor_variant') THEN 'TIER3' ELSE 'UNTIERED' END AS tier, count(*) AS n FROM cts WHERE key % 3 = 0 GROUP BY 1, 2")
 def tiering(spark, sf_dir):
+    return _tiers(lens.consequences(spark, sf_dir).filter("key % 3 = 0"))
+
+
+@_add(lens.SQL + "SELECT key, CASE WHEN gene IN ('G1', 'G2', 'G3', 'G4', 'G5') AND term IN ('stop_gained', 'frameshift_variant', 'splice_donor_variant') THEN 'TIER1' WHEN gene IN ('G1', 'G2', 'G3', 'G4', 'G5') AND term = 'missense_variant' THEN 'TIER2' WHEN term IN ('stop_gained', 'frameshift_variant', 'splice_donor_variant') THEN 'TIER3' ELSE 'UNTIERED' END AS tier, count(*) AS n FROM cts GROUP BY 1, 2")
+def tiering_all(spark, sf_dir):
+    """The tiers of every variant."""
+    return _tiers(lens.consequences(spark, sf_dir))
+
+
+def _tiers(rows):
     panel = F.col("gene").isin("G1", "G2", "G3", "G4", "G5")
     lof = F.col("term").isin(*V.LOF)
     tier = F.when(panel & lof, "TIER1").when(panel & (F.col("term") == "missense_variant"), "TIER2").when(lof, "TIER3").otherwise("UNTIERED")
-    return lens.consequences(spark, sf_dir).filter("key % 3 = 0").groupBy("key", tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("key", tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_add(lens.SQL + "SELECT chrom, start // 250000 AS track, count(*) FILTER (WHERE type = 'SNV') AS snv, count(*) FILTER (WHERE type IN ('INDEL', 'INSERTION', 'DELETION')) AS indel, count(*) FILTER (WHERE cadd > 20) AS scored FROM variants GROUP BY 1, 2")

@@ -41,5 +41,14 @@ def test_query(spark, duck, name):
     assert _rows(got) == _rows(want)
 
 
+def test_whole_tables(spark, duck):
+    """Queries named _all leave no variant out."""
+    distinct = lambda name: QUERIES[name](spark, SF).select("key").distinct().count()
+    called = duck.execute("SELECT count(DISTINCT l_orderkey) FROM lineitem").fetchone()[0]
+    assert distinct("tiering_all") == distinct("x09_search_document_all") == called
+    pending = duck.execute("SELECT count(*) FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 10 <> 0").fetchone()[0]
+    assert distinct("x06_pending_all") == pending
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
