@@ -3,13 +3,14 @@ from __future__ import annotations
 import collections
 import math
 import re
+import textwrap
 import zlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from allelake.llm import classifier, licences, rules, scoring
+from allelake.llm import classifier, licences, notices, rules, scoring
 
 from .conftest import SF, edge_rows
 
@@ -132,6 +133,26 @@ def test_op6_inheritance(spark):
     assert rows == {1: ("MIT", "a/LICENSE"), 2: ("CC-BY-NC-4.0", "a/b"), 3: ("CC-BY-NC-4.0", "a/b"), 4: (None, None), 5: ("CC-BY-NC-4.0", "a/b/COPYING"), 6: (None, None)}
 
 
+def test_op6_texts_and_headers(spark):
+    full = dict(notices.TEXTS)
+    own = lambda name: full[name].replace("<year>", "2019").replace("<copyright holders>", "Ann Example and others").replace("<copyright holder>", "Ann Example")
+    gpl = textwrap.wrap(dict(notices.HEADERS)["GPL-3.0"].replace("library", "program"), 60)
+    bullets = re.sub(r"(?m)^\d\. ", "* ", "\n".join(textwrap.fill(x, 70) for x in own("BSD-3-Clause").split("\n"))).replace('"AS IS"', "``AS IS''")
+    files = [(f"{n}/LICENSE", own(n), n) for n in full]
+    files += [
+        ("w/LICENSE", bullets, "BSD-3-Clause"),
+        ("readme/README.md", "# Thing\n\nIt counts apples and pears in a basket.\n\n" * 3 + "## License\n\n" + textwrap.fill(own("ISC"), 60, replace_whitespace=False), "ISC"),
+        ("c/x.c", "/*\n * x.c: counts apples\n *\n" + "".join(f" * {x}\n" for x in gpl) + " */\n#include <stdio.h>\nint main() { return 0; }\n" * 3, "GPL-3.0"),
+        ("s/x.py", "#!/usr/bin/python\n# SPDX-License-Identifier: GPL-2.0-or-later\nimport os\nprint(os.name)\n", "GPL-2.0"),
+        ("n/a", "The license of the driver was lost and found in the park, and the notice was returned without warranty of any kind.", None),
+        ("n/b", "mit\nMIT\nder mit und mit", None),
+    ]
+    rows = [(i, p, t) for i, (p, t, _) in enumerate(files)]
+    got = {r.path: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {p: got[p].own for p, _, _ in files} == {p: n for p, _, n in files}
+    assert all(got[f"{n}/LICENSE"].is_file for n in full) and not got["s/x.py"].is_file
+
+
 def test_op7_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet").withColumn("out", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0)
