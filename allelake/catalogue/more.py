@@ -216,7 +216,17 @@ def w03_gaps(spark, sf_dir):
 @_add(", a AS (SELECT chrom, start, \"end\" + 500 AS \"end\" FROM variants WHERE type = 'SNV' AND chrom = '3'), b AS (SELECT chrom, start, \"end\" + 500 AS \"end\" FROM variants WHERE type = 'MNV' AND chrom = '3') SELECT count(*) AS n FROM (SELECT DISTINCT p FROM (SELECT unnest(range(start, \"end\" + 1)) AS p FROM a) WHERE p IN (SELECT unnest(range(start, \"end\" + 1)) FROM b))")
 def u05_common_positions(spark, sf_dir):
     """Positions that lie in intervals of both kinds."""
-    rows = lens.variants(spark, sf_dir).filter("chrom = '3'").withColumn("end", F.col("end") + 500)
+    return _common_positions(lens.variants(spark, sf_dir).filter("chrom = '3'"))
+
+
+@_add(", a AS (SELECT chrom, start, \"end\" + 500 AS \"end\" FROM variants WHERE type = 'SNV'), b AS (SELECT chrom, start, \"end\" + 500 AS \"end\" FROM variants WHERE type = 'MNV') SELECT count(*) AS n FROM (SELECT DISTINCT chrom, p FROM (SELECT chrom, unnest(range(start, \"end\" + 1)) AS p FROM a) WHERE (chrom, p) IN (SELECT chrom, unnest(range(start, \"end\" + 1)) FROM b))")
+def u05_common_positions_all(spark, sf_dir):
+    """The same of all chromosomes."""
+    return _common_positions(lens.variants(spark, sf_dir))
+
+
+def _common_positions(rows):
+    rows = rows.withColumn("end", F.col("end") + 500)
     both = overlap.common(rows.filter("type = 'SNV'"), rows.filter("type = 'MNV'"))
     return both.agg(F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).cast("long").alias("n"))
 

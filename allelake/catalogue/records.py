@@ -45,8 +45,17 @@ _ARCHIVE = "SELECT sample, chrom, start, start + CASE WHEN gt = '0/0' THEN 20000
 @_add(lens.SQL + f", x AS ({_ARCHIVE}), vs AS (SELECT * FROM variants WHERE chrom IN ('1', '2')), m AS (SELECT v.key, v.chrom, v.start, v.\"end\", s.sample FROM vs v CROSS JOIN (SELECT * FROM members WHERE sample < 4) s WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.key = v.key AND c.sample = s.sample)), f AS (SELECT m.key, m.sample, count(*) FILTER (WHERE NOT is_reference) AS o, min(gt) FILTER (WHERE NOT is_reference) AS other, min(gt) FILTER (WHERE is_reference) AS ref FROM m LEFT JOIN x ON x.sample = m.sample AND x.chrom = m.chrom AND x.start <= m.\"end\" AND x.\"end\" >= m.start GROUP BY 1, 2) SELECT key, sample, CASE WHEN o > 1 THEN 'MULTI' WHEN o = 1 THEN 'VARIANT' WHEN ref IS NOT NULL THEN 'REFERENCE' ELSE 'GAP' END AS status, CASE WHEN o > 1 THEN '2/2' WHEN o = 1 THEN CASE other WHEN '1/1' THEN '2/2' WHEN '0/1' THEN '0/2' WHEN '1|2' THEN '2|.' END WHEN ref IS NOT NULL THEN ref ELSE './.' END AS gt FROM f")
 def j21_fill_gaps(spark, sf_dir):
     v, c = lens.variants(spark, sf_dir), lens.calls(spark, sf_dir).filter("sample < 4")
-    archive = c.join(v, "key").select("sample", "chrom", "start", (F.col("start") + F.when(F.col("gt") == "0/0", 20000).otherwise(F.col("key") % 50)).alias("end"), (F.col("gt") == "0/0").alias("is_reference"), "gt")
-    return records.fill_gaps(v.filter("chrom IN ('1', '2')"), lens.members(spark).filter("sample < 4"), c, archive)
+    return records.fill_gaps(v.filter("chrom IN ('1', '2')"), lens.members(spark).filter("sample < 4"), c, _archive(v, c))
+
+
+@_add(lens.SQL + f", x AS ({_ARCHIVE.removesuffix(' WHERE sample < 4')}), vs AS (SELECT * FROM variants), m AS (SELECT v.key, v.chrom, v.start, v.\"end\", s.sample FROM vs v CROSS JOIN members s WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.key = v.key AND c.sample = s.sample)), f AS (SELECT m.key, m.sample, count(*) FILTER (WHERE NOT is_reference) AS o, min(gt) FILTER (WHERE NOT is_reference) AS other, min(gt) FILTER (WHERE is_reference) AS ref FROM m LEFT JOIN x ON x.sample = m.sample AND x.chrom = m.chrom AND x.start <= m.\"end\" AND x.\"end\" >= m.start GROUP BY 1, 2) SELECT key, sample, CASE WHEN o > 1 THEN 'MULTI' WHEN o = 1 THEN 'VARIANT' WHEN ref IS NOT NULL THEN 'REFERENCE' ELSE 'GAP' END AS status, CASE WHEN o > 1 THEN '2/2' WHEN o = 1 THEN CASE other WHEN '1/1' THEN '2/2' WHEN '0/1' THEN '0/2' WHEN '1|2' THEN '2|.' END WHEN ref IS NOT NULL THEN ref ELSE './.' END AS gt FROM f")
+def j21_fill_gaps_all(spark, sf_dir):
+    v, c = lens.variants(spark, sf_dir), lens.calls(spark, sf_dir)
+    return records.fill_gaps(v, lens.members(spark), c, _archive(v, c))
+
+
+def _archive(v, c):
+    return c.join(v, "key").select("sample", "chrom", "start", (F.col("start") + F.when(F.col("gt") == "0/0", 20000).otherwise(F.col("key") % 50)).alias("end"), (F.col("gt") == "0/0").alias("is_reference"), "gt")
 
 
 @_add(lens.SQL + "SELECT key FROM variants WHERE key NOT IN (SELECT key FROM calls)")
@@ -97,6 +106,8 @@ def x01_sample_index(spark, sf_dir):
     return rows.groupBy("sample", F.expr("start div 100000").alias("batch"), V.unphased(F.col("gt")).alias("gt")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: All members.
+SAMPLES = list(range(20))
 _GTS = [f"coalesce(max(CASE WHEN sample = {s} THEN gt END), './.') AS g{s}" for s in range(3)]
 
 
@@ -105,10 +116,18 @@ def k02_vcf_lines(spark, sf_dir):
     return vcf.lines(lens.variants(spark, sf_dir), lens.calls(spark, sf_dir), [0, 1, 2])
 
 
+_ALL_GTS = [f"coalesce(max(CASE WHEN sample = {s} THEN gt END), './.') AS g{s}" for s in SAMPLES]
+
+
+@_add(lens.SQL + f", g AS (SELECT v.key, chrom, start, rs, reference, alternate, \"end\", type, {', '.join(_ALL_GTS)} FROM variants v LEFT JOIN calls c USING (key) GROUP BY ALL) SELECT key, concat_ws(chr(9), chrom, start, coalesce(rs, '.'), reference, alternate, '.', 'PASS', 'END=' || \"end\" || ';TYPE=' || type, 'GT', {', '.join(f'g{s}' for s in SAMPLES)}) AS line FROM g")
+def k02_vcf_lines_all(spark, sf_dir):
+    return vcf.lines(lens.variants(spark, sf_dir), lens.calls(spark, sf_dir), SAMPLES)
+
+
 @_add(lens.SQL + "SELECT chrom, start, reference, alternate, type FROM variants")
 def s01_vcf_records(spark, sf_dir):
     """Variants written as VCF lines and read again."""
-    lines = vcf.lines(lens.variants(spark, sf_dir), lens.calls(spark, sf_dir), [0, 1])
+    lines = vcf.lines(lens.variants(spark, sf_dir), lens.calls(spark, sf_dir), SAMPLES)
     rows = vcf.biallelic(vcf.records(lines.select(F.col("line").alias("value"))))
     return rows.select("chrom", "start", "reference", "alternate", F.element_at("info", "TYPE").alias("type"))
 
@@ -121,6 +140,14 @@ def k03_tped(spark, sf_dir):
     return vcf.tped(lens.variants(spark, sf_dir), lens.calls(spark, sf_dir), [0, 1])
 
 
+_ALL_BASES = " || ' ' || ".join(_BASE.format(s, i) for s in SAMPLES for i in (1, 2))
+
+
+@_add(lens.SQL + f"SELECT key, chrom || ' ' || (chrom || ':' || start || ':' || reference || ':' || alternate) || ' 0 ' || start || ' ' || {_ALL_BASES} AS line FROM variants v LEFT JOIN calls USING (key) GROUP BY key, chrom, start, reference, alternate")
+def k03_tped_all(spark, sf_dir):
+    return vcf.tped(lens.variants(spark, sf_dir), lens.calls(spark, sf_dir), SAMPLES)
+
+
 @_add(lens.SQL + ", t AS (SELECT CAST(range % 22 + 1 AS VARCHAR) AS chrom, range * 9973 % 950000 + 1 AS start, range * 9973 % 950000 + 15000 AS \"end\", 'f' || (range % 7) AS name FROM range(150)) SELECT v.key, string_agg(DISTINCT name, ',' ORDER BY name) AS features FROM variants v LEFT JOIN t ON v.chrom = t.chrom AND v.start <= t.\"end\" AND v.\"end\" >= t.start GROUP BY 1")
 def s17_track(spark, sf_dir):
     track = spark.range(150).selectExpr("CAST(id % 22 + 1 AS STRING) AS chrom", "id * 9973 % 950000 + 1 AS start", "id * 9973 % 950000 + 15000 AS end", "concat('f', id % 7) AS name")

@@ -43,7 +43,9 @@ def fill_gaps(variants: DataFrame, samples: DataFrame, calls: DataFrame, archive
     GAP; several other variants are MULTI; a reference block is REFERENCE with its genotype; one other variant is VARIANT
     with the remapped genotype.
     """
-    missing = variants.select("key", "chrom", "start", "end").crossJoin(F.broadcast(samples.select("sample"))).join(calls.select("key", "sample"), ["key", "sample"], "left_anti")
+    # The list of samples is one row.
+    every = F.broadcast(samples.agg(F.collect_list("sample").alias("every")))
+    missing = variants.select("key", "chrom", "start", "end").crossJoin(every).withColumn("sample", F.explode("every")).drop("every").join(calls.select("key", "sample"), ["key", "sample"], "left_anti")
     # The archive meets variants by place first; samples join as a key, so no pair of strangers is made.
     near = overlap.overlaps(variants.select("key", "chrom", "start", "end"), archive.select("chrom", "start", "end", "sample", "is_reference", "gt"))
     found = near.groupBy("key", F.col("r_sample").alias("sample")).agg(

@@ -50,5 +50,14 @@ def test_whole_tables(spark, duck):
     assert distinct("x06_pending_all") == pending
 
 
+def test_all_members_and_chromosomes(spark, duck):
+    calls, variants = duck.execute("SELECT count(DISTINCT (l_orderkey, l_suppkey % 20)), (SELECT count(*) FROM orders) FROM lineitem").fetchone()
+    gaps = QUERIES["j21_fill_gaps_all"](spark, SF)
+    assert gaps.count() == gaps.select("key", "sample").distinct().count() == 20 * variants - calls
+    assert {len(r.line.split("\t")) for r in QUERIES["k02_vcf_lines_all"](spark, SF).collect()} == {9 + 20}
+    assert {len(r.line.split(" ")) for r in QUERIES["k03_tped_all"](spark, SF).collect()} == {4 + 40}
+    assert QUERIES["u05_common_positions_all"](spark, SF).first().n > QUERIES["u05_common_positions"](spark, SF).first().n
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
