@@ -2,57 +2,45 @@
 
 A text is its sequence of five-word shingles, each labelled with how often it has occurred before. A sketch takes, for
 each of several hash functions, the labelled shingles with the least hashes and keeps them in the order of the text;
-texts that are close in edit distance share such tuples. Texts with a common tuple are candidates. A pair is linked when
-a banded alignment finds shingles shared in the same order that make up THRESHOLD of all its labelled shingles, which
-is their Jaccard similarity unless passages have moved.
+texts that are close in edit distance share such tuples. Texts with a common tuple are candidates. A pair of candidates
+is linked when a banded alignment (alignment.py) keeps THRESHOLD of the words of the longer text in order.
+
+Candidates of one tuple form a bucket. All members are first aligned with the bucket's pivot, which joins a group of near
+copies by as many links as it has members; then only members of components that are still apart are aligned, in tiles.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, components
+from . import alignment, common, components
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Tuples in a sketch, and shingles in a tuple. Shingles are drawn without replacement: two texts that share i of u shingles
-#: in all are missed with a chance of (1 - C(i, 4) / C(u, 4))^24, unless both have SHORT at most, which are never missed.
-TUPLES, TAKEN = 24, 4
+#: Tuples in a sketch, and shingles in a tuple. Two texts that share i of u shingles in all are no candidates with a chance of
+#: (1 - C(i, 2) / C(u, 2))^24, unless both have SHORT at most and share THRESHOLD of theirs.
+TUPLES, TAKEN = 24, 2
 #: Texts of so many shingles at most also meet by each of their rarest shingles.
 SHORT = 40
-#: Texts of a bucket that meet in one task are two parts of about so many.
-PART = 512
+#: Texts of a bucket that meet in one task are two parts of about so many, and of about so many bytes.
+PART, PART_BYTES = 512, 8 << 20
 CHUNK = 1 << 20
 
 
 def shingles(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Labelled hashes of the shingles of all documents in order, and where each document's begin."""
-    raw = np.frombuffer(b"\n".join(documents) + b"\n", np.uint8)
-    first, until = common.word_spans(raw)
-    ends = np.cumsum([len(d) + 1 for d in documents])
-    word = common.span_hashes(raw, first, until)
-    cut = np.append(0, np.searchsorted(first, ends))
+    word, cut = alignment.words(documents)
     counts = np.maximum(np.diff(cut) - SHINGLE + 1, 0)
     at = np.repeat(cut[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    doc = np.repeat(np.arange(len(documents)), counts)
     x = np.zeros(len(at), np.uint64)
     for k in range(SHINGLE):
         x = common.mixed(x * np.uint64(0x9E3779B97F4A7C15) + word[at + k])
-    # The label: occurrences of the shingle earlier in the document.
-    order = np.lexsort((np.arange(len(x)), x, doc))
-    new = np.ones(len(x), bool)
-    new[1:] = (x[order][1:] != x[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-    begin = np.flatnonzero(new)
-    label = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
-    tagged = np.empty_like(x)
-    tagged[order] = common.mixed(x[order] + label.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return tagged, np.append(0, np.cumsum(counts))
+    begins = np.append(0, np.cumsum(counts))
+    return alignment.labelled(x, begins), begins
 
 
 def sketches(tagged: np.ndarray, cut: np.ndarray, tuples: int = TUPLES, taken: int = TAKEN) -> np.ndarray:
@@ -78,29 +66,6 @@ def sketches(tagged: np.ndarray, cut: np.ndarray, tuples: int = TUPLES, taken: i
     return out
 
 
-def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """The most labelled shingles that two texts share in the same order, none of them moved by more than band.
-
-    Labelled shingles occur once in a text, so the best alignment is the longest increasing run of partners' places.
-    """
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= band
-    places = j[near][np.argsort(i[near])]
-    if (places[1:] > places[:-1]).all():
-        return len(places)
-    tops: list[int] = []
-    for x in places.tolist():
-        k = bisect.bisect_left(tops, x)
-        tops[k : k + 1] = [x]
-    return len(tops)
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Do the shingles that two texts share in order make up THRESHOLD of all of theirs?"""
-    least = math.ceil(THRESHOLD / (1 + THRESHOLD) * (len(a) + len(b)) - 1e-9)
-    return least > 0 and aligned(a, b, len(a) + len(b) - 2 * least) >= least
-
-
 class Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -115,49 +80,29 @@ class Forest:
         self.up[max(i, j)] = min(i, j)
 
 
-def links(documents: list[bytes], side: np.ndarray, both: bool) -> list[tuple[int, int]]:
-    """Links that connect what is alike. both: pairs within a side count, else only those of different sides."""
-    tagged, cut = shingles(documents)
-    n, size = len(documents), np.diff(cut)
-    _, column = np.unique(tagged, return_inverse=True)
-    row = np.repeat(np.arange(n), size)
-    often = np.bincount(column, minlength=1) if len(column) else np.zeros(1, np.int64)
-    # Texts that are alike share one of their rarest shingles: so many that the rest cannot make up the threshold.
-    order = np.lexsort((column, often[column], row))
-    rare = np.arange(len(order)) - np.repeat(cut[:-1], size) < np.repeat(size - np.ceil(THRESHOLD * size - 1e-9).astype(np.int64) + 1, size)
-    first, owner = column[order][rare], row[order][rare]
-    shared_first = np.bincount(first, minlength=len(often))[first] > 1
-    active = np.zeros(n, bool)
-    active[owner[shared_first]] = True
-    place = np.cumsum(active) - 1
-    # Labelled shingles occur once in a document, so shared ones are counted by products of incidence columns.
-    keep = active[row] & (often[column] > 1)
-    column, row = column[keep], place[row[keep]]
-    live, size = np.flatnonzero(active), size[active]
-    m = len(live)
-    shared = np.zeros((m, m), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    step = max(1, (1 << 22) // max(m, 1))
-    edges = np.append(np.flatnonzero(np.diff(column, prepend=-1)), len(column))
-    for g in range(0, len(edges) - 1, step):
-        a, b = edges[g], edges[min(g + step, len(edges) - 1)]
-        grid = np.zeros((m, min(step, len(edges) - 1 - g)), np.float32)
-        grid[row[a:b], np.cumsum(np.diff(column[a:b], prepend=column[a]) != 0)] = 1
-        shared += grid @ grid.T
-    enough = shared >= THRESHOLD * (size[:, None] + size[None, :] - shared) - 1e-6
-    enough &= (size > 0)[:, None] & (size > 0)[None, :]
-    forest, out = Forest(n), []
-    for i, j in live[np.argwhere(np.triu(enough, 1))].tolist():
-        if (not both and side[i] == side[j]) or forest.root(i) == forest.root(j):
-            continue
-        if alike(tagged[cut[i] : cut[i + 1]], tagged[cut[j] : cut[j + 1]]):
+def links(documents: list[bytes], side: np.ndarray, group: np.ndarray, both: bool) -> list[tuple[int, int]]:
+    """Links that connect documents of different groups, no more than are needed. both: pairs within a side count, else only those of different sides."""
+    word, cut = alignment.words(documents)
+    size = np.diff(cut)
+    longer = np.maximum(size[:, None], size[None, :])
+    least = np.ceil(THRESHOLD * longer - 1e-9)
+    enough = (np.minimum(size[:, None], size[None, :]) >= least) & (group[:, None] != group[None, :])
+    if not both:
+        enough &= side[:, None] != side[None, :]
+    if enough.any():
+        enough &= alignment.shared_words(alignment.labelled(word, cut), cut) >= least - 0.5
+    forest, out = Forest(len(documents)), []
+    lead: dict[int, int] = {}
+    for i, g in enumerate(group.tolist()):
+        forest.join(i, lead.setdefault(g, i))
+    for i, j in np.argwhere(np.triu(enough, 1)).tolist():
+        if forest.root(i) != forest.root(j) and alignment.alike(word[cut[i] : cut[i + 1]], word[cut[j] : cut[j + 1]], THRESHOLD):
             forest.join(i, j)
             out.append((i, j))
     return out
 
 
-SKETCH = "doc_id long, digest binary, keys binary, few binary"
+SKETCH = "row long, doc_id long, digest binary, size int, keys binary, few binary"
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
@@ -165,73 +110,148 @@ def _sketch(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in common.parts(batches, most=CHUNK):
-            keys, data = b.column(0), b.column(1).cast(pa.binary()).to_pylist()
+            keys, data, row = b.column(0), b.column(1).cast(pa.binary()).to_pylist(), b.column(2)
             tagged, cut = shingles(data)
             made = iter(sketches(tagged, cut))
             few = [tagged[i:j].tobytes() if j - i <= SHORT else b"" for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
-            yield common.batch(schema, keys, [hashlib.md5(x).digest() for x in data], [next(made).tobytes() if n else b"" for n in np.diff(cut).tolist()], few)
+            drawn = [next(made).tobytes() if n else b"" for n in np.diff(cut).tolist()]
+            yield common.batch(schema, row, keys, [hashlib.md5(x).digest() for x in data], [len(x) for x in data], drawn, few)
 
-    return docs.mapInArrow(run, SKETCH)
+    return docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, SKETCH)
 
 
 def _unpacked(texts: DataFrame, column: str = "keys") -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64())])
+    ddl = "node long, size int, key long"
+    schema = common.arrow_schema(ddl)
 
     def run(batches):
         for b in batches:
-            data = b.column(1).to_pylist()
+            data = b.column(2).to_pylist()
             counts = np.array([len(x) // 8 for x in data], np.int64)
-            yield common.batch(schema, np.repeat(b.column(0).to_numpy(), counts), np.frombuffer(b"".join(data), "<i8"))
+            yield common.batch(schema, np.repeat(b.column(0).to_numpy(), counts), np.repeat(b.column(1).to_numpy(), counts), np.frombuffer(b"".join(data), "<i8"))
 
-    return texts.select("doc_id", column).mapInArrow(run, "doc_id long, key long")
+    return texts.select("node", "size", column).mapInArrow(run, ddl)
 
 
 def _rarest(texts: DataFrame) -> DataFrame:
     """Of each short text its rarest shingles, so many that the rest cannot make up the threshold.
 
-    Two texts that are alike share THRESHOLD of either's shingles at least, so by one order of all shingles they share
-    one of these.
+    Two texts that have THRESHOLD of either's shingles in common share, by one order of all shingles, one of these.
     """
     all_ = _unpacked(texts.filter(F.octet_length("few") > 0), "few")
     placed = all_.join(all_.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
-    ordered = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("s"))
+    ordered = placed.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("s"))
     most = F.size("s") - F.ceil(F.size("s") * THRESHOLD - 1e-9).cast("int") + 1
     rare = F.filter(F.slice("s", F.lit(1), most), lambda x: x["n"] > 1)
-    return ordered.select("doc_id", F.explode(rare).alias("x")).select("doc_id", F.xxhash64(F.lit("few"), "x.key").alias("key"))
+    return ordered.select("node", "size", F.explode(rare).alias("x")).select("node", "size", F.xxhash64(F.lit("few"), "x.key").alias("key"))
 
 
-def classes(docs: DataFrame, part: int = PART) -> DataFrame:
-    """One row per row of docs: doc_id, component_id (the least doc_id of its class), kept (doc_id is that).
+def _with_pivots(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (pivot, node) that are alike. A pivot's text goes to as many tasks as its members fill."""
+    sizes = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
+    placed = components.spread(pairs, sizes, "pivot", pairs.count()).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART)))
+    rows = placed.select("pivot", "part", "node").unionByName(placed.select("pivot", "part", F.col("pivot").alias("node")).distinct())
+    schema = common.arrow_schema("a long, b long")
 
-    A null text counts as empty; a row without doc_id has equal texts only. Equal texts are of one class, empty ones included; texts under five words link to equal
-    ones only. Copies of a text are settled by its digest and enter the search once. Buckets of any size are compared
-    whole, in tiles of two parts, so no group meets in one task. Other columns are not read.
-    """
-    docs = common.texts(docs)
-    sketched = common.materialize(_sketch(docs))
-    once = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("few").alias("few"))
-    searched = once.filter((F.octet_length("keys") > 0) & F.col("doc_id").isNotNull())
-    keyed = common.materialize(_unpacked(searched).unionByName(_rarest(searched)))
-    mark = F.xxhash64("doc_id")
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("n > 1")
-    # Buckets with the same members are looked at once.
-    buckets = buckets.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-    member = keyed.join(buckets, "key").withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("int"))
-    tiles = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id")
+    def run(batches):
+        here, lead = None, None
+        for b in common.parts(batches, column=3):
+            word, cut = alignment.words(b.column(3).cast(pa.binary()).to_pylist())
+            out = []
+            for k, (pivot, part, node) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
+                mine = word[cut[k] : cut[k + 1]]
+                if node == pivot:
+                    here, lead = (pivot, part), mine.copy()
+                elif here == (pivot, part) and alignment.alike(lead, mine, THRESHOLD):
+                    out.append((pivot, node))
+            if out:
+                yield common.batch(schema, *zip(*out))
+
+    dealt = rows.join(texts, "node").select("pivot", "part", "node", "text").repartition("pivot", "part")
+    return dealt.sortWithinPartitions("pivot", "part", F.col("node") != F.col("pivot")).mapInArrow(run, "a long, b long")
+
+
+def _in_tiles(member: DataFrame, texts: DataFrame, part: int) -> DataFrame:
+    """Links between the components of members that share a bucket, found in tiles of two parts."""
+    apart = member.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).filter("lo != hi")
+    parts = F.greatest(F.ceil(F.col("n") / part), F.ceil(F.col("bytes") / PART_BYTES)).cast("int")
+    dealt = member.join(common.stored(apart.select("key", parts.alias("parts")), "apart"), "key").withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "group", "node"
+    )
     schema = common.arrow_schema("a long, b long")
 
     def compare(table: pa.Table) -> pa.Table:
-        if len(table) < 2:
+        group = table["group"].to_numpy()
+        if len(table) < 2 or (group == group[0]).all():
             return schema.empty_table()
-        table = table.sort_by("doc_id")
-        ids, data, side = table["doc_id"].to_pylist(), table["text"].cast(pa.binary()).to_pylist(), table["part"].to_numpy()
-        got = links(data, side, table["i"][0].as_py() == table["j"][0].as_py())
-        return pa.table([pa.array([ids[i] for i, _ in got], pa.int64()), pa.array([ids[j] for _, j in got], pa.int64())], schema=schema)
-
-    pairs = tiles.join(docs, "doc_id").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
-    found = components.components(pairs)
-    of_text = once.select("digest", F.col("doc_id").alias("id")).join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    return sketched.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        table = table.sort_by("node")
+        group, side = table["group"].to_numpy(), table["part"].to_numpy()
+        got = links(table["text"].cast(pa.binary()).to_pylist(), side, group, table["i"][0].as_py() == table["j"][0].as_py())
+        return pa.table([pa.array([group[i] for i, _ in got], pa.int64()), pa.array([group[j] for _, j in got], pa.int64())], schema=schema)
+
+    return tiles.join(texts, "node").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _classes(docs: DataFrame, part: int) -> DataFrame:
+    """doc_id, digest, component_id and kept of each row."""
+    docs = common.texts(docs)
+    sketched = common.stored(_sketch(docs), "sketches")
+    # Equal texts are one node, named by the first of their rows.
+    once = common.stored(
+        sketched.groupBy("digest").agg(F.min("row").alias("node"), F.min_by("doc_id", "row").alias("lead"), F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("few").alias("few")),
+        "texts-once",
+    )
+    searched = once.filter(F.octet_length("keys") > 0)
+    keyed = common.stored(_unpacked(searched).unionByName(_rarest(searched)), "keys")
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("pivot"), F.max("node").alias("hi")).filter("n > 1")
+    # Buckets with the same members are looked at once.
+    buckets = common.stored(buckets.groupBy("n", "x", "pivot", "hi").agg(F.min("key").alias("key")).select("key", "pivot"), "buckets")
+    member = common.stored(keyed.join(buckets, "key"), "members")
+    wanted = once.join(member.select("node").distinct(), "node").select("node", "digest", F.col("lead").alias("doc_id"))
+    texts = common.stored(_candidates(docs, wanted), "candidates")
+    pairs = common.stored(member.filter("node != pivot").select("pivot", "node").distinct(), "pivots")
+    found = common.stored(components.components(_with_pivots(pairs, texts)), "classes-by-pivot")
+    member = common.stored(member.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("group")), "members")
+    joined = common.stored(components.components(_in_tiles(member, texts, part)), "classes-by-tile")
+    of_node = found.join(joined.select(F.col("id").alias("component"), F.col("component").alias("larger")), "component", "left").select("id", F.coalesce("larger", "component").alias("component"))
+    of_node = of_node.unionByName(joined.join(found, "id", "left_anti"))
+    grouped = common.stored(once.select("digest", "doc_id", "first", F.col("node").alias("id")).join(of_node, "id", "left").select("digest", "doc_id", "first", F.coalesce("component", "id").alias("component")), "classes")
+    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    least = least.select("component", "component_id", F.col("first.row").alias("kept_row"), "n")
+    placed = common.stored(components.spread(grouped.select("digest", "component"), least, "component", grouped.count()).select("digest", "component_id", "kept_row"), "digests")
+    return sketched.select("row", "doc_id", "digest").join(placed, "digest").select("doc_id", "digest", "component_id", (F.col("row") == F.col("kept_row")).alias("kept"))
+
+
+def _candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The text of each node that is wanted, once; nodes are named by the doc_id and digest of one of their rows."""
+    named = docs.select(F.col("doc_id").alias("own"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("code"), "text")
+    return named.join(wanted, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("code") == F.col("digest"))).groupBy("node").agg(F.first("text").alias("text"))
+
+
+def classes(docs: DataFrame, part: int = PART) -> DataFrame:
+    """One row per row of docs: doc_id, component_id (the least doc_id of its class), kept (one row of each class).
+
+    A null text counts as empty. Equal texts are of one class, empty ones included, whatever their doc_id; texts under
+    five words link to equal ones only. Rows are told apart by their place, not by doc_id: a doc_id may be null or
+    occur with several texts, and of rows equal in doc_id and text one is kept. component_id is null where no row of the
+    class has a doc_id. Copies of a text are settled by its digest and enter the search once. Buckets of any size are
+    compared whole, so no group meets in one task. An empty table gives no rows; other columns are not read.
+    """
+    return _classes(docs, part).drop("digest")
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The row of docs that is kept of each class, with all its columns."""
+    rows = _classes(docs, PART).groupBy("doc_id", "digest").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    # Rows equal in doc_id and text cannot be told apart by these: they go through a grouping of their own.
+    special = common.stored(rows.filter("not stays or n > 1").select(F.col("doc_id").alias("key_id"), F.col("digest").alias("key_digest"), "stays"), "verdicts")
+    columns = [docs[c] for c in docs.columns]
+    digest = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("key_id")) & (digest == F.col("key_digest"))
+    unique = docs.join(special, same, "left_anti")
+    repeated = docs.join(special.filter("stays"), same).groupBy("key_id", "key_digest").agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
+    return unique.unionByName(repeated)
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
