@@ -2,13 +2,15 @@
 
 The byte-level pre-tokeniser cuts a text into pieces that are merged apart from each other, so ids of a text are the ids
 of its pieces in order. Pieces are found by pretokenize.pieces and kept in a bounded cache; the library encodes those
-that are new, many in one call.
+that are new, many in one call. The strings of a vocabulary's added tokens stand for these tokens, as they do when the
+library encodes a whole text; what is between them is encoded by itself.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 
@@ -24,7 +26,14 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("added tokens that depend on their neighbours are not supported")
+        # Of strings that start at one place the longest counts.
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+        self.tokenizer.encode_special_tokens = True  # pieces hold no such string as a whole
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         # Pieces are handed over between marks, each of which stays a piece of its own.
         mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -56,7 +65,12 @@ class Encoder:
 
     def encode(self, documents: list[str], last: int) -> list[bytes]:
         """Little-endian 32-bit ids of each whole text, and the id last behind them."""
-        return self.pieces.encode(documents, np.array([last], "<u4").tobytes())[0]
+        end = np.array([last], "<u4").tobytes()
+        if self.cut is None or not any(s in d for d in documents for s in self.added):
+            return self.pieces.encode(documents, end)[0]
+        parts = [self.cut.split(d) for d in documents]
+        ids = iter(self.pieces.encode([x for p in parts for x in p[::2]])[0])
+        return [b"".join(np.array([self.added[x]], "<u4").tobytes() if k % 2 else next(ids) for k, x in enumerate(p)) + end for p in parts]
 
 
 @functools.cache

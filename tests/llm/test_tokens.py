@@ -38,6 +38,39 @@ def test_pieces_are_the_matches(documents):
     assert counts.tolist() == [len(m) for m in matches]
 
 
+def test_classes_of_all_code_points():
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    text = "".join(map(chr, every))
+
+    def matched(pattern):
+        probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        return {ord(c) for c in bytes(probe.encode_ordinary(text)).decode()}
+
+    kinds = pretokenize.classes()
+    for pattern, kind in ((r"\p{L}+", pretokenize.LETTER), (r"\p{N}+", pretokenize.NUMBER), (r"\s+", pretokenize.GAP)):
+        assert matched(pattern) == {c for c in every if kinds[c] == kind}
+
+
+def test_ids_of_new_and_other_code_points(reference):
+    """All letters and numbers that are new, and other code points, by themselves and behind a letter, a number and a mark."""
+    rnd = random.Random(2)
+    new = [c for a, b in pretokenize.NEW_LETTERS + pretokenize.NEW_NUMBERS for c in range(a, b + 1)]
+    some = [chr(c) for c in new[::7] + new[:60] + rnd.sample(range(0xD800), 1500) + rnd.sample(range(0xE000, 0x110000), 500)]
+    tokenizer = Tokenizer.from_file(JSON)
+    documents = ["".join(f"{c} a{c} 1{c} !{c}\n\n" for c in some[i : i + 250]) for i in range(0, len(some), 250)]
+    ids, _ = bpe.merges(RANKS).encode(documents)
+    for d, x, y in zip(documents, ids, library.encoder(JSON).encode(documents, 7)):
+        assert np.frombuffer(x, "<u4").tolist() == reference.encode_ordinary(d)
+        assert np.frombuffer(y, "<u4").tolist() == [*tokenizer.encode(d, add_special_tokens=False).ids, 7]
+
+
+def test_added_tokens_as_the_library_has_them():
+    documents = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", " <|endoftext|>  \n", "<|endoftext", "<<|endoftext|>|>", "no", ""]
+    tokenizer = Tokenizer.from_file(JSON)
+    for d, x in zip(documents, library.encoder(JSON).encode(documents, 0)):
+        assert np.frombuffer(x, "<u4").tolist() == [*tokenizer.encode(d, add_special_tokens=False).ids, 0]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(LETTERS, st.text(max_size=40)), min_size=1, max_size=4))
 def test_distinct_pieces(documents):
@@ -49,7 +82,7 @@ def test_distinct_pieces(documents):
 
 def test_ids_of_both_libraries(reference):
     rnd = random.Random(3)
-    documents = [t or "" for _, t in edge_rows()] + ["aaab" * 400, "<|endoftext|>", "\0 a\0b", "".join(rnd.choices("abcdef ", k=5000))]
+    documents = [t or "" for _, t in edge_rows()] + ["aaab" * 400, "<|endoftext", "\0 a\0b", "".join(rnd.choices("abcdef ", k=5000))]
     ids, offsets = bpe.merges(RANKS).encode(documents)
     same = library.encoder(JSON).encode(documents, 7)
     for d, x, y, o in zip(documents, ids, same, offsets):
