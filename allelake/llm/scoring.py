@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER, MU = 2, 100.0
+#: Tokens that one lane of a traversal reads; all lanes of a block move on together.
+STRETCH = 256
 #: UTF-8 bytes in a block, about.
 BLOCK_BYTES = 12 << 20
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -76,6 +78,17 @@ def expand(data: bytes) -> np.ndarray:
     return np.cumsum(np.append(np.frombuffer(data, "<u8", 1, 1), gaps.view("<u8")[:, 0]), dtype=np.uint64)
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """Whole numbers of up to 64 bits, in as many bytes each as the largest needs."""
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def widen(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 ASK = "shard long, block long, gram int, keys binary, counts binary"
 ANSWER = "block long, shard long, gram int, totals binary, n long, v long"
 
@@ -97,7 +110,7 @@ def _ask(bits: int, order: int):
             shard = (each >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(each), np.int64)
             begin = np.flatnonzero(np.diff(shard, prepend=-1))
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(each)]):
-                rows.append((int(shard[a]), block, k, squeeze(each[a:b]), counts[a:b].astype("<u4").tobytes()))
+                rows.append((int(shard[a]), block, k, squeeze(each[a:b]), narrow(counts[a:b])))
         return pa.Table.from_batches([common.batch(schema, *zip(*rows))]) if rows else schema.empty_table()
 
     return run
@@ -110,16 +123,16 @@ def _answer():
         shard, blocks = table["shard"][0].as_py(), table["block"].to_pylist()
         gram = table["gram"][0].as_py()
         keys = [expand(x) for x in table["keys"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
+        counts = np.concatenate([widen(x) for x in table["counts"].to_pylist()])
         flat = np.concatenate(keys)
         turn = np.argsort(flat)
         s = flat[turn]
         new = np.append(True, s[1:] != s[:-1])
-        sums = np.add.reduceat(counts[turn].astype(np.int64), np.flatnonzero(new))
+        sums = np.add.reduceat(counts[turn], np.flatnonzero(new))
         totals = np.empty(len(flat), np.int64)
         totals[turn] = sums[np.cumsum(new) - 1]
         edge = np.append(0, np.cumsum([len(x) for x in keys])).tolist()
-        packed = [np.minimum(totals[a:b], 2**32 - 1).astype("<u4").tobytes() if gram > 1 else totals[a:b].astype("<i8").tobytes() for a, b in zip(edge[:-1], edge[1:])]
+        packed = [narrow(totals[a:b]) for a, b in zip(edge[:-1], edge[1:])]
         # Tokens and distinct tokens of the shard, told once.
         n = [int(sums.sum()) if i == 0 and gram == 1 else 0 for i in range(len(keys))]
         v = [int((sums > 0).sum()) if i == 0 and gram == 1 else 0 for i in range(len(keys))]
@@ -129,40 +142,99 @@ def _answer():
 
 
 class Automaton:
-    """The states and arcs that one block needs: by order, of each distinct n-gram its count in all training texts."""
-
-    def __init__(self, counts: list[np.ndarray], n: int, v: int, mu: float):
-        self.counts, self.n, self.v, self.mu = counts, n, v, mu
-
-    def root_weights(self) -> np.ndarray:
-        """Arcs of the empty history."""
-        return np.log10((self.counts[0] + 0.5) / (self.n + 0.5 * (self.v + 1)))
-
-    def failures(self, k: int) -> np.ndarray:
-        """Weights of the failure arcs of the histories of k tokens; 0 where the history is no state."""
-        c = self.counts[k - 1]
-        return np.where(c > 0, np.log10(self.mu / (c + self.mu)), 0.0)
-
-    def run(self, which: list[np.ndarray], at: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of all positions for the empty history, and for the longest one; which: the n-gram of each order that ends at each position of at."""
-        base = np.zeros(size)
-        base[at[0]] = self.root_weights()[which[0]]
-        weight = base.copy()
-        history = np.full(size, -1, np.int32)
-        history[at[0]] = which[0]
-        end = which[0][-1] if len(which[0]) else 0
-        for k in range(2, len(self.counts) + 1):
-            spot = at[k - 1]
-            before = history[spot - 1]
-            if k == 2:
-                before = np.where(before < 0, end, before)  # a start stands for the end of what came before
-            failed = self.failures(k - 1)[before] + weight[spot]
-            c, h = self.counts[k - 1][which[k - 1]], self.counts[k - 2][before]
-            arc = np.log10((c + self.mu * 10.0 ** weight[spot]) / (h + self.mu))
-            weight[spot] = np.where((c > 0) & (h > 0), arc, failed)
-            history = np.full(size, -1, np.int32)
-            history[spot] = which[k - 1]
-        return base, weight
+    """States, arcs and failure arcs for the n-grams of one block.
+
+    State 0 is the empty history; the others are the n-grams below the highest order that training texts hold. fail and
+    backoff give each state's failure arc and its weight. The arcs of all states lie in one ascending array of
+    state * tokens + token, with their weights and the states they lead to; the empty history has an arc for each token.
+    """
+
+    def __init__(self, counts: list[np.ndarray], which: list[np.ndarray], at: list[np.ndarray], size: int, n: int, v: int, mu: float):
+        """counts: by order, of each distinct n-gram how often training texts hold it; which: the n-gram of each order that ends at each position of at."""
+        order, vocabulary = len(counts), max(len(counts[0]), 1)
+        end = int(which[0][-1]) if len(which[0]) else 0  # a block's last token is an end; a start stands for the end of what came before
+        ending = []
+        for w, spots in zip(which, at):
+            here = np.full(size, -1, np.int64)
+            here[spots] = w
+            ending.append(here)
+        ending[0][ending[0] < 0] = end
+        self.token, self.vocabulary = ending[0], vocabulary
+        weights = [np.log10((counts[0] + 0.5) / (n + 0.5 * (v + 1)))]
+        self.root = weights[0]
+        fail, backoff = [np.zeros(1, np.int64)], [np.zeros(1)]
+        numbers, made = [], 1  # of each order, the state that an n-gram is
+        keys, arcs, targets = [], [], []
+        for k in range(1, order + 1):
+            held = counts[k - 1] > 0
+            state = np.full(len(held), -1, np.int64)
+            if k < order:
+                state[held] = made + np.arange(held.sum())
+                made += int(held.sum())
+            numbers.append(state)
+            first = np.zeros(len(held), np.int64)
+            first[which[k - 1][::-1]] = at[k - 1][::-1]
+            if k == 1:
+                shorter = np.zeros(len(held), np.int64)
+                source, weight = shorter, weights[0]
+                arc = np.ones(len(held), bool)  # tokens that training texts lack lead from the empty history to itself
+            else:
+                suffix, history = ending[k - 2][first], ending[k - 2][first - 1]
+                shorter, source = numbers[k - 2][suffix], numbers[k - 2][history]
+                weight = np.log10((counts[k - 1] + mu * 10.0 ** weights[k - 2][suffix]) / (counts[k - 2][history] + mu))
+                arc = held
+                weights.append(weight)
+            if k < order:
+                fail.append(shorter[held])
+                backoff.append(np.log10(mu / (counts[k - 1][held] + mu)))
+            keys.append((source * vocabulary + ending[0][first])[arc])
+            arcs.append(weight[arc])
+            targets.append(np.where(state >= 0, state, np.maximum(shorter, 0))[arc])
+        self.fail, self.backoff = np.concatenate(fail), np.concatenate(backoff)
+        key = np.concatenate(keys)
+        turn = np.argsort(key)
+        self.key, self.arc, self.target = key[turn], np.concatenate(arcs)[turn], np.concatenate(targets)[turn]
+        self.reach = order - 1
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of reading one token each, failure arcs included, and the states after it."""
+        weight, after = np.zeros(len(state)), np.empty(len(state), np.int64)
+        left = np.arange(len(state))
+        while len(left):
+            want = state * self.vocabulary + token
+            spot = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+            hit = self.key[spot] == want
+            done = left[hit]
+            weight[done] += self.arc[spot[hit]]
+            after[done] = self.target[spot[hit]]
+            left, state, token = left[~hit], state[~hit], token[~hit]
+            weight[left] += self.backoff[state]
+            state = self.fail[state]
+        return weight, after
+
+    def read(self, cut: np.ndarray) -> np.ndarray:
+        """Weights of all positions, read from left to right.
+
+        Lanes read a document, or a stretch of a long one, side by side. A state holds no more tokens than the histories have,
+        so a lane that starts in the middle gets its state by reading as many tokens before it, whose weights do not count.
+        """
+        out = np.zeros(len(self.token))
+        sizes = np.diff(cut)
+        lanes = -(-sizes // STRETCH)
+        doc = np.repeat(np.arange(len(sizes)), lanes)
+        begin = cut[:-1][doc] + STRETCH * (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+        stop = np.minimum(begin + STRETCH, cut[1:][doc])
+        where = np.maximum(begin - self.reach, cut[:-1][doc])
+        state = np.zeros(len(doc), np.int64)
+        while len(where):
+            weight, state = self.step(state, self.token[where])
+            counted = where >= begin
+            out[where[counted]] = weight[counted]
+            where = where + 1
+            on = where < stop
+            where, begin, stop, state = where[on], begin[on], stop[on], state[on]
+        out[cut[:-1]] = 0  # a start is no token of the text
+        return out
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -179,16 +251,18 @@ def _score(order: int, n: int, v: int, mu: float):
         rows = sorted(zip(answers["gram"].to_pylist(), answers["shard"].to_pylist(), answers["totals"].to_pylist()))
         counts, which, spots = [], [], []
         for k, (keys, at) in enumerate(grams(token, cut, order), 1):
-            counts.append(np.frombuffer(b"".join(x[2] for x in rows if x[0] == k), "<u4" if k > 1 else "<i8").astype(np.float64))
+            counts.append(np.concatenate([np.zeros(0, np.int64), *(widen(x[2]) for x in rows if x[0] == k)]).astype(np.float64))
             turn = np.argsort(keys)
             s = keys[turn]
             index = np.empty(len(keys), np.int32)
             index[turn] = np.cumsum(np.append(True, s[1:] != s[:-1])[: len(s)]) - 1
             which.append(index)
             spots.append(at)
-        base, weight = Automaton(counts, n, v, mu).run(which, spots, len(token))
-        known = np.zeros(len(token), np.int64)
+        automaton = Automaton(counts, which, spots, len(token), n, v, mu)
+        weight = automaton.read(cut)
+        known, base = np.zeros(len(token), np.int64), np.zeros(len(token))
         known[spots[0]] = counts[0][which[0]] > 0
+        base[spots[0]] = automaton.root[which[0]]
         sums = [np.add.reduceat(x, cut[:-1]) for x in (known, base, weight)]
         return pa.Table.from_batches([common.batch(schema, docs["doc_id"].combine_chunks(), docs["held_out"].combine_chunks(), np.diff(cut) - 1, sums[0], np.full(len(data), n), sums[1], sums[2])])
 
