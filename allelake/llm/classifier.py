@@ -1,11 +1,13 @@
 """Quality classifier by co-training two views (operator 7).
 
 One logistic model reads the text (words, and measures of its form), the other the page's metadata (language, source,
-length). In each round either labels the pool rows that it is sure of for the other. Both are calibrated on labelled
+length). In each round either labels the documents that it is sure of for the other. Both are calibrated on labelled
 rows left out of training, their log-odds are combined, and every document is scored. A document is good if its label
 says quality 1 and not toxic.
 
-The models are fitted on bounded samples: LABELLED labelled documents and POOL others, taken by hash of doc_id.
+Labelled rows are a bounded sample: LABELLED documents, taken by hash of doc_id. The exchange covers all other documents:
+a pass over them sums, for each feature that the sample has, the shares of the documents that the other view is sure of.
+A document shares itself out evenly among its features, and each feature enters the next fit as one good and one bad row.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LABELLED, POOL = 12_000, 6_000
-ROUNDS, SURE, PSEUDO_WEIGHT = 3, 0.98, 0.2
-#: Words kept as features stand in so many of the labelled documents at least; so many words at most.
-MIN_DOCS, WORDS = 4, 200_000
+LABELLED = 12_000
+#: Exchanges between the views, how sure a view must be, and the weight of all that it says against that of the labelled rows.
+ROUNDS, SURE, PSEUDO_WEIGHT = 2, 0.98, 0.2
+#: Features stand in so many of the labelled documents at least.
+MIN_DOCS = 4
+#: A document is counted in these parts, so that sums do not depend on their order.
+WHOLE = 1 << 20
 #: A document is rejected below this probability of being good.
 THRESHOLD = 0.5
 CHUNK = 1 << 20
@@ -110,6 +115,15 @@ class Rows:
         self.row, self.column = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[hit], at[hit].astype(np.int32)
         self.dense, self.n = dense, len(counts)
 
+    def with_features(self, columns: np.ndarray) -> Rows:
+        """These rows, and behind them one row for each of the columns that holds it alone."""
+        out = Rows.__new__(Rows)
+        out.row = np.append(self.row, np.arange(self.n, self.n + len(columns), dtype=np.int32))
+        out.column = np.append(self.column, columns.astype(np.int32))
+        out.dense = np.concatenate((self.dense, np.zeros((len(columns), self.dense.shape[1]))))
+        out.n = self.n + len(columns)
+        return out
+
     def score(self, model: Model) -> np.ndarray:
         return np.bincount(self.row, model.sparse[self.column], self.n) + self.dense @ model.dense + model.bias
 
@@ -158,32 +172,29 @@ def calibration(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.0), float(w[1])
 
 
-def vocabulary(hashes: np.ndarray, least: int, most: int) -> np.ndarray:
+def vocabulary(hashes: np.ndarray, least: int) -> np.ndarray:
     every, n = np.unique(hashes, return_counts=True)
-    every, n = every[n >= least], n[n >= least]
-    return np.sort(every[np.argsort(-n, kind="stable")[:most]])
+    return every[n >= least]
 
 
-def cotrain(text: tuple, page: tuple, y: np.ndarray, left_out: np.ndarray) -> dict[str, np.ndarray]:
-    """Both views' models. y: 1 good, 0 bad, -1 not labelled (the pool); left_out: labelled rows kept for calibration."""
-    labelled = y >= 0
-    center = text[2][labelled].mean(axis=0)
-    spread = text[2][labelled].std(axis=0) + 1e-6
-    words = vocabulary(text[0][np.repeat(labelled, text[1])], MIN_DOCS, WORDS)
-    pages = vocabulary(page[0][np.repeat(labelled, page[1])], MIN_DOCS, WORDS)
+def fit_views(text: tuple, page: tuple, y: np.ndarray, left_out: np.ndarray, told: tuple | None = None) -> dict[str, np.ndarray]:
+    """Both views' models. y: 1 good, 0 bad; left_out: rows kept for calibration; told: by view, the parts of documents that
+    the other view holds to be good and to be bad, for each feature in order."""
+    center, spread = text[2].mean(axis=0), text[2].std(axis=0) + 1e-6
+    words, pages = vocabulary(text[0], MIN_DOCS), vocabulary(page[0], MIN_DOCS)
     views = [Rows(words, text[0], text[1], (text[2] - center) / spread), Rows(pages, page[0], page[1], np.zeros((len(y), 0)))]
     sizes = [(len(words), DENSE), (len(pages), 0)]
-    train = labelled & ~left_out
-    targets = [np.where(train, y, 0).astype(float) for _ in views]
-    weights = [train.astype(float) for _ in views]
-    for _ in range(ROUNDS):
-        models = [Model(*s).fit(r, t, w) for s, r, t, w in zip(sizes, views, targets, weights)]
-        for here, there in ((0, 1), (1, 0)):
-            p = sigmoid(views[here].score(models[here]))
-            sure = ~labelled & ((p >= SURE) | (p <= 1 - SURE))
-            targets[there] = np.where(sure, p >= 0.5, targets[there]).astype(float)
-            weights[there] = np.where(labelled, weights[there], PSEUDO_WEIGHT * sure)
-    models = [Model(*s).fit(r, t, w) for s, r, t, w in zip(sizes, views, targets, weights)]
+    train = ~left_out
+    models = []
+    for k, (size, rows) in enumerate(zip(sizes, views)):
+        target, weight = y.astype(float), train.astype(float)
+        if told is not None and told[k].sum():
+            share = told[k] * (PSEUDO_WEIGHT * weight.sum() / told[k].sum())
+            good, bad = np.flatnonzero(share[0]), np.flatnonzero(share[1])
+            rows = rows.with_features(np.append(good, bad))
+            target = np.concatenate((target, np.ones(len(good)), np.zeros(len(bad))))
+            weight = np.concatenate((weight, share[0][good], share[1][bad]))
+        models.append(Model(*size).fit(rows, target, weight))
     check = left_out if left_out.any() and 0 < y[left_out].mean() < 1 else train
     scores = [r.score(m)[check] for r, m in zip(views, models)]
     fits = [calibration(s, y[check].astype(float)) for s in scores]
@@ -197,37 +208,75 @@ def cotrain(text: tuple, page: tuple, y: np.ndarray, left_out: np.ndarray) -> di
     }
 
 
-def predict(model: dict[str, np.ndarray], documents: list[bytes], lang: list, source: list, n_chars: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Probabilities of being good: by the text, by the page, by both."""
-    hashes, counts, dense = text_features(documents)
-    bias_t, bias_p, a_t, b_t, a_p, b_p, prior, slope, offset = model["numbers"]
-    t = Model(0, 0)
+def _views(model: dict[str, np.ndarray], text: tuple, page: tuple) -> tuple[Rows, np.ndarray, Rows, np.ndarray]:
+    """The rows of either view, and their uncalibrated scores."""
+    bias_t, bias_p = model["numbers"][:2]
+    t, p = Model(0, 0), Model(0, 0)
     t.sparse, t.dense, t.bias = model["text_sparse"], model["text_dense"], bias_t
-    p = Model(0, 0)
     p.sparse, p.dense, p.bias = model["page_sparse"], np.zeros(0), bias_p
-    x = a_t * Rows(model["words"], hashes, counts, (dense - model["center"]) / model["spread"]).score(t) + b_t
-    z = a_p * Rows(model["pages"], *page_features(lang, source, n_chars), np.zeros((len(documents), 0))).score(p) + b_p
+    texts = Rows(model["words"], text[0], text[1], (text[2] - model["center"]) / model["spread"])
+    pages = Rows(model["pages"], *page, np.zeros((len(page[1]), 0)))
+    return texts, texts.score(t), pages, pages.score(p)
+
+
+def sure_parts(rows: Rows, size: int, other: np.ndarray) -> np.ndarray:
+    """For each feature of a view the parts of the documents that the other view's scores hold to be good, and to be bad."""
+    share = WHOLE // np.maximum(np.bincount(rows.row, minlength=rows.n), 1)
+    p = sigmoid(other)
+    return np.stack([np.bincount(rows.column, (share * sure)[rows.row], size) for sure in (p >= SURE, p <= 1 - SURE)]).astype(np.int64)
+
+
+def predict(model: dict[str, np.ndarray], documents: list[bytes], lang: list, source: list, n_chars: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities of being good: by the text, by the page, by both."""
+    _, _, a_t, b_t, a_p, b_p, prior, slope, offset = model["numbers"]
+    _, t, _, p = _views(model, text_features(documents), page_features(lang, source, n_chars))
+    x, z = a_t * t + b_t, a_p * p + b_p
     return sigmoid(x), sigmoid(z), sigmoid(slope * (x + z - prior) + offset)
 
 
 SAMPLE = "y int, left_out boolean, hashes binary, dense binary, page binary"
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, np.ndarray] | None:
-    """The models, from bounded samples; None where labelled documents are missing or all alike.
+def _exchange(pool: DataFrame, model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What either view tells the other about all documents of the pool: no more rows than the sample has features."""
+    ddl = "view int, feature int, good long, bad long"
+    schema = common.arrow_schema(ddl)
+    sizes = len(model["words"]), len(model["pages"])
 
-    The rows of a sample are found by hash of doc_id and their features computed where they lie; one task then fits
-    both models, whatever the input, on no more than about labelled + pool rows.
+    def run(batches):
+        told = [np.zeros((2, n), np.int64) for n in sizes]
+        for b in common.parts(batches, 0, CHUNK):
+            data = b.column(0).cast(pa.binary()).to_pylist()
+            texts, t, pages, p = _views(model, text_features(data), page_features(*(b.column(k).to_pylist() for k in (1, 2, 3))))
+            told[0] += sure_parts(texts, sizes[0], p)
+            told[1] += sure_parts(pages, sizes[1], t)
+        for view, x in enumerate(told):
+            some = np.flatnonzero(x.any(axis=0))
+            yield common.batch(schema, np.full(len(some), view, np.int32), some.astype(np.int32), x[0][some], x[1][some])
+
+    out = tuple(np.zeros((2, n), np.int64) for n in sizes)
+    summed = pool.select(F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars").mapInArrow(run, ddl).groupBy("view", "feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
+    for view in (0, 1):
+        of = summed.filter(pc.equal(summed["view"], view))
+        out[view][:, of["feature"].to_numpy()] = np.stack((of["good"].to_numpy(), of["bad"].to_numpy()))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> dict[str, np.ndarray] | None:
+    """The models; None where labelled documents are missing or all alike.
+
+    The labelled rows are found by hash of doc_id, about labelled of them at most, and their features computed where they
+    lie; one task fits both views on them, whatever the input. The views' labels for all other documents come as sums.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars")
     wanted = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("int")).alias("y"))
-    mark = F.xxhash64("doc_id", F.lit(7))
-    share = lambda n, most: 2**63 - 1 if n <= most else int(2.0**64 * most / n) - 2**63
-    n_labels, n_docs = wanted.count(), rows.count()
+    n_labels = wanted.count()
     if not n_labels:
         return None
-    chosen = wanted.filter(mark <= share(n_labels, labelled))  # about labelled rows at most, so small enough to send to all
-    some = rows.join(F.broadcast(chosen), "doc_id", "left").filter(F.col("y").isNotNull() | (mark <= share(n_docs, pool))).withColumn("left_out", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0)
+    share = 2**63 - 1 if n_labels <= labelled else int(2.0**64 * labelled / n_labels) - 2**63
+    chosen = F.broadcast(wanted.filter(F.xxhash64("doc_id", F.lit(7)) <= share))  # about labelled rows at most, so small enough to send to all
+    some = rows.join(chosen, "doc_id").withColumn("left_out", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0)
+    pool = rows.join(chosen, "doc_id", "left_anti")
     schema = common.arrow_schema(SAMPLE)
 
     def features(batches):
@@ -236,27 +285,33 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
             hashes, counts, dense = text_features(data)
             page, _ = page_features(*(b.column(k).to_pylist() for k in (1, 2, 3)))
             cut = np.append(0, np.cumsum(counts)).tolist()
-            y = b.column(4).fill_null(-1)
-            yield common.batch(schema, y, b.column(5), [hashes[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], [d.tobytes() for d in dense], [page[5 * i : 5 * i + 5].tobytes() for i in range(len(data))])
-
-    def train(batches):
-        got = pa.Table.from_batches(list(batches), schema=schema)  # bounded: the sample
-        y = got["y"].to_numpy().astype(np.int64)
-        if not (y == 0).any() or not (y == 1).any():
-            return
-        stack = lambda c, kind: np.frombuffer(b"".join(got[c].to_pylist()), kind)
-        counts = pc.binary_length(got["hashes"]).to_numpy() // 8
-        text = stack("hashes", np.uint64), counts, stack("dense", np.float64).reshape(-1, DENSE)
-        page, left_out = (stack("page", np.uint64), np.full(len(y), 5)), got["left_out"].to_numpy() & (y >= 0)
-        del got
-        model = cotrain(text, page, y, left_out)
-        data = io.BytesIO()
-        np.savez(data, **model)
-        yield pa.RecordBatch.from_arrays([pa.array([data.getvalue()], pa.binary())], ["model"])
-
-    sampled = some.select("text", "lang", "source", "n_chars", "y", "left_out").mapInArrow(features, SAMPLE)
-    made = sampled.repartition(1).sortWithinPartitions("hashes", "page").mapInArrow(train, "model binary").first()
-    return dict(np.load(io.BytesIO(made[0]))) if made else None
+            yield common.batch(schema, b.column(4), b.column(5), [hashes[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], [d.tobytes() for d in dense], [page[5 * i : 5 * i + 5].tobytes() for i in range(len(data))])
+
+    sample = common.stored(some.select("text", "lang", "source", "n_chars", "y", "left_out").mapInArrow(features, SAMPLE), "labelled")
+    ordered = sample.repartition(1).sortWithinPartitions("hashes", "page")
+
+    def train(told):
+        def run(batches):
+            got = pa.Table.from_batches(list(batches), schema=schema)  # bounded: the labelled sample
+            y = got["y"].to_numpy().astype(np.int64)
+            if not (y == 0).any() or not (y == 1).any():
+                return
+            stack = lambda c, kind: np.frombuffer(b"".join(got[c].to_pylist()), kind)
+            counts = pc.binary_length(got["hashes"]).to_numpy() // 8
+            text = stack("hashes", np.uint64), counts, stack("dense", np.float64).reshape(-1, DENSE)
+            page, left_out = (stack("page", np.uint64), np.full(len(y), 5)), got["left_out"].to_numpy()
+            del got
+            data = io.BytesIO()
+            np.savez(data, **fit_views(text, page, y, left_out, told))
+            yield pa.RecordBatch.from_arrays([pa.array([data.getvalue()], pa.binary())], ["model"])
+
+        made = ordered.mapInArrow(run, "model binary").first()
+        return dict(np.load(io.BytesIO(made[0]))) if made else None
+
+    model = train(None)
+    for _ in range(rounds if model else 0):
+        model = train(_exchange(pool, model))
+    return model
 
 
 def scores(model: dict[str, np.ndarray] | None) -> Column:

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import collections
 import math
+import random
 import re
 import textwrap
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +163,46 @@ def test_op7_held_out(spark):
     assert rows.kept[good].mean() >= 0.95 and rows.kept[rows.quality == 0].mean() <= 0.2
 
 
+def test_op7_exchange(spark):
+    """Pages tell texts: a word that labels say nothing about turns good when it stands on pages of a good source."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    rows, marks = [], []
+    for i in range(400):  # the source alone tells labelled documents apart
+        good = i % 2
+        rows.append((i, " ".join([*rnd.sample(words, 6), rnd.choice(["apple", "pear"])]), "en", "a" if good else "b", 50))
+        marks.append((i, good, 0))
+    for i in range(400, 1200):
+        good = i % 2
+        rows.append((i, " ".join([*rnd.sample(words, 6), "apple" if good else "pear"]), "en", "a" if good else "b", 50))
+    rows.append((None, None, None, None, None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    before, after = classifier.fit(docs, labels, rounds=0), classifier.fit(docs, labels, rounds=2)
+
+    def weight(model, word):
+        hashes, counts, _ = classifier.text_features([word.encode()])
+        at = int(np.searchsorted(model["words"], hashes[0]))
+        assert model["words"][at] == hashes[0] and counts.tolist() == [1]
+        return model["text_sparse"][at]
+
+    gap = lambda m: weight(m, "apple") - weight(m, "pear")
+    assert gap(after) > gap(before) + 0.2
+
+    # What the pages tell, feature by feature, against a plain count.
+    told, page_told = classifier._exchange(docs.filter("doc_id >= 400 or doc_id is null"), before)
+    sure = {}
+    for d, t, lang, source, n in rows[400:]:
+        _, p, _ = classifier.predict(before | {"numbers": np.array([*before["numbers"][:2], 1, 0, 1, 0, 0, 1, 0])}, [(t or "").encode()], [lang], [source], [n])
+        known = [w for w in (t or "").split() if np.isin(classifier.text_features([w.encode()])[0], before["words"]).all()]
+        for k, yes in enumerate((p[0] >= classifier.SURE, p[0] <= 1 - classifier.SURE)):
+            for w in known if yes else ():
+                sure[k, w] = sure.get((k, w), 0) + classifier.WHOLE // len(known)
+    place = lambda w: int(np.searchsorted(before["words"], classifier.text_features([w.encode()])[0][0]))
+    assert sure and {(k, place(w)): n for (k, w), n in sure.items()} == {(k, i): int(n) for k in (0, 1) for i, n in enumerate(told[k]) if n}
+    assert page_told.shape[1] == len(before["pages"])
+
+
 def test_op7_edges(spark, clashing, nothing):
     labels = spark.createDataFrame([(5, 1, 0), (6, 1, None), (9, 0, 0), (10, 0, 0), (None, 1, 0), (11, None, 1)], "doc_id long, quality int, toxic int")
     assert classifier.classify(clashing, labels).count() == clashing.count()
