@@ -4,11 +4,14 @@ Suffixes go to blocks by the anchor of their first LENGTH bytes (anchors.py), so
 blocks at a time by the difference-cover method: the ranks of SPAN bytes at the positions of a difference cover of
 period PERIOD are computed first; suffixes are sorted by their first PERIOD bytes, and a tie of any length is resolved
 by the ranks at the cover position that both suffixes reach after the same number of bytes. Only blocks with texts
-that differ are sorted at all: contexts that repeat as a whole are settled by counting.
+that differ are sorted at all: contexts that repeat as a whole are settled by counting. A block of very many contexts is
+split by longer strings: its windows are cut to ranges of WIDTHS offsets from the anchor, and a range's block is the string that
+all of its windows share, which is up to all of their bytes.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -25,8 +28,12 @@ LENGTH = 200
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 SPAN = 8 * PERIOD
 CHUNK = 1 << 20
-#: Contexts of one block that a task sorts; blocks beyond are counted window by window instead.
-BLOCK_MOST = 4096
+#: Contexts of one block that a task sorts; blocks beyond are split by longer strings first.
+BLOCK_MOST = 512
+#: Offsets of a block's windows from its anchor: of all of them, of a split block, and of one split again, whose windows are the string itself.
+WIDTHS = 13, 1
+#: Stands for a missing doc_id where rows are told apart.
+NO_ID = -(2**63)
 #: Bytes of contexts sorted together.
 BATCH_BYTES = 1 << 20
 #: Texts of which a task remembers the digests, so as to look at copies once.
@@ -151,13 +158,13 @@ def repeated(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, windows:
     return out
 
 
-ANCHOR = "h long, c long, doc_id long, s long, n int, w int"
+ANCHOR = "h long, c long, doc_id long, mark long, s long, n int, o int, w int"
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     """One row per anchor: the hash of its string, the hash of its context (all bytes of its windows), where its windows start, and a weight.
 
-    Contexts that recur among the texts at hand are settled at once. One of them goes on with their number as its
+    o is the place of the anchor's string behind the first window. Contexts that recur among the texts at hand are settled at once. One of them goes on with their number as its
     weight; the others weigh nothing and take a random key, so a string that recurs everywhere does not gather in one task.
     """
     schema = common.arrow_schema(ANCHOR)
@@ -165,7 +172,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         seen: set[bytes] = set()
         for b in common.parts(batches):
-            keys, data = b.column(0).to_numpy(), b.column(1).cast(pa.binary()).to_pylist()
+            keys, data, marks = b.column(0).to_numpy(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_numpy()
             for i, j in common.chunks([len(x) for x in data], CHUNK):
                 take = []
                 for k in range(i, j):  # a copy of a text of this task adds nothing: copies are settled by their digests
@@ -188,34 +195,34 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 new = np.append(True, pair[order][1:] != pair[order][:-1])
                 weight = np.zeros(len(pair), np.int32)
                 weight[order[new]] = np.diff(np.append(np.flatnonzero(new), len(pair)))
-                ids = keys[np.array(take)][doc]
-                h = np.where(weight > 0, h, common.mixed(common.mixed(ids.astype(np.uint64)) + s.astype(np.uint64)))
-                yield common.batch(schema, h.view(np.int64), c.view(np.int64), ids, s - begin, n.astype(np.int32), weight)
+                ids, own = keys[np.array(take)][doc], marks[np.array(take)][doc]
+                h = np.where(weight > 0, h, common.mixed(common.mixed(own.view(np.uint64)) + s.astype(np.uint64)))
+                yield common.batch(schema, h.view(np.int64), c.view(np.int64), ids, own, s - begin, n.astype(np.int32), (at - s).astype(np.int32), weight)
 
     return docs.mapInArrow(run, ANCHOR)
 
 
-CONTEXT = "h long, c long, nc long, doc_id long, s long, n int, bytes binary"
-SPANS = "doc_id long, s long, e long"
+CONTEXT = "h long, c long, nc long, doc_id long, mark long, s long, n int, o int, bytes binary"
+SPANS = "doc_id long, mark long, s long, e long"
 
 
 def _contexts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """The bytes of the contexts asked for; the lists of one document are as long as its text at most."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "c", "nc", "s", "n")).alias("spots"))
+    lists = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "c", "nc", "s", "n", "o")).alias("spots"))
     schema = common.arrow_schema(CONTEXT)
 
     def run(batches):
         for b in common.parts(batches):
-            keys, data = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
-            spots = b.column(2)
+            keys, data, marks = b.column(0).to_numpy(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_numpy()
+            spots = b.column(3)
             flat = spots.flatten()
             s, n = flat.field("s").to_numpy(), flat.field("n").to_numpy()
             counts = np.diff(spots.offsets.to_numpy())
             owner = np.repeat(np.arange(len(keys)), counts)
             cut = [data[k][x : x + m + length - 1] for k, x, m in zip(owner.tolist(), s.tolist(), n.tolist())]
-            yield common.batch(schema, flat.field("h"), flat.field("c"), flat.field("nc"), np.array(keys, np.int64)[owner], s, n.astype(np.int32), cut)
+            yield common.batch(schema, flat.field("h"), flat.field("c"), flat.field("nc"), keys[owner], marks[owner], s, n.astype(np.int32), flat.field("o"), cut)
 
-    return docs.join(lists, "doc_id").select("doc_id", "text", "spots").mapInArrow(run, CONTEXT)
+    return docs.join(lists, ["doc_id", "mark"]).select("doc_id", "text", "mark", "spots").mapInArrow(run, CONTEXT)
 
 
 def _true_runs(mark: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +239,8 @@ def _sorted_blocks(contexts: DataFrame, length: int) -> DataFrame:
     schema = common.arrow_schema(SPANS)
 
     def settle(columns: list[list]):
-        h, nc, doc, s, n, data = (np.array(columns[0], np.int64), np.array(columns[2], np.int64), np.array(columns[3], np.int64), np.array(columns[4], np.int64), np.array(columns[5], np.int64), columns[6])
+        h, nc, doc, own, s, n = (np.array(columns[k], np.int64) for k in (0, 2, 3, 4, 5, 6))
+        data = columns[8]
         lengths = np.array([len(x) for x in data], np.int64)
         starts = np.cumsum(lengths) - lengths
         block = np.cumsum(np.diff(h, prepend=h[:1]) != 0)
@@ -242,65 +250,87 @@ def _sorted_blocks(contexts: DataFrame, length: int) -> DataFrame:
         a, b = _true_runs(mark, owner)
         base = np.cumsum(n) - n
         k = owner[a]
-        return common.batch(schema, doc[k], s[k] + a - base[k], s[k] + b - base[k] + length)
+        return common.batch(schema, doc[k], own[k], s[k] + a - base[k], s[k] + b - base[k] + length)
 
     def run(batches):
-        held: list[list] = [[] for _ in range(7)]
+        held: list[list] = [[] for _ in range(9)]
         size = 0
         for b in batches:
             columns = [c.to_pylist() for c in b.columns]
             for row in zip(*columns):
                 if size > BATCH_BYTES and row[0] != held[0][-1]:
                     yield settle(held)
-                    held, size = [[] for _ in range(7)], 0
+                    held, size = [[] for _ in range(9)], 0
                 for k, v in zip(held, row):
                     k.append(v)
-                size += len(row[6])
+                size += len(row[8])
         if held[0]:
             yield settle(held)
 
     return contexts.repartition("h").sortWithinPartitions("h", "c").mapInArrow(run, SPANS)
 
 
-def _counted_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for blocks beyond BLOCK_MOST: 128-bit digests of all their windows are counted, with partial sums before the shuffle."""
-    ddl = "fh long, fl long, doc_id long, s long, single boolean, times long"
-    schema = common.arrow_schema(ddl)
+def _ranges(contexts: DataFrame, width: int, length: int) -> DataFrame:
+    """Anchor rows of ranges of width offsets: contexts that share the bytes that all windows of a range share are a block."""
+    schema = common.arrow_schema(ANCHOR)
 
     def run(batches):
-        for b in batches:
-            for h, c, nc, doc, s, n, data in zip(*(x.to_pylist() for x in b.columns)):
-                digests = np.frombuffer(b"".join(hashlib.blake2b(data[k : k + length], digest_size=16).digest() for k in range(n)), "<i8").reshape(-1, 2)
-                yield common.batch(schema, digests[:, 0], digests[:, 1], [doc] * n, s + np.arange(n), [nc == 1] * n, [nc] * n)
-
-    rows = contexts.mapInArrow(run, ddl)
-    often = rows.groupBy("fh", "fl").agg(F.sum("times").alias("all")).filter("all > 1").drop("all")
-    return rows.filter("single").join(often, ["fh", "fl"], "left_semi").select("doc_id", "s", (F.col("s") + length).alias("e"))
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, block_most: int = BLOCK_MOST) -> tuple[DataFrame, DataFrame]:
-    """Texts of at least length bytes that have copies (doc_id), and byte ranges covered by repeated strings in the other texts (doc_id, s, e)."""
-    if length != LENGTH:
-        raise ValueError(f"the difference cover is laid out for {LENGTH} bytes")
-    digests = docs.filter(F.octet_length("text") >= length).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
-    many = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    copies = digests.join(many, "digest", "left_semi").select("doc_id")
+        for b in common.parts(batches, column=8):
+            h, _, nc, doc, own, s, n, o = (b.column(k).to_numpy().astype(np.int64) for k in range(8))
+            data = b.column(8).to_pylist()
+            raw = np.frombuffer(b"".join(data), np.uint8)
+            start = np.cumsum([0, *map(len, data[:-1])])
+            low, high = (o - n + 1) // width, o // width
+            k = np.repeat(np.arange(len(h)), high - low + 1)
+            part = low[k] + np.arange(len(k)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+            first = np.maximum(o[k] - width * part - width + 1, 0)
+            last = np.minimum(o[k] - width * part, n[k] - 1)
+            core = start[k] + o[k] - width * part  # where the last window of a whole range starts
+            block = anchors.joined(anchors.joined(h[k].view(np.uint64), part.astype(np.uint64)), common.span_hashes(raw, core, core + length - width + 1, seed=1))
+            whole = anchors.joined(common.span_hashes(raw, start[k] + first, start[k] + last + length), (o[k] - first).astype(np.uint64))
+            yield common.batch(schema, block.view(np.int64), whole.view(np.int64), doc[k], own[k], s[k] + first, (last - first + 1).astype(np.int32), (o[k] - first).astype(np.int32), np.minimum(nc[k], 2).astype(np.int32))
+
+    return contexts.mapInArrow(run, ANCHOR)
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """Anchor rows with nc, how often their context occurs, and whether they lead its rows; kh: contexts that the block has. Those of one occurrence go."""
     by_context, by_anchor = W.partitionBy("h", "c"), W.partitionBy("h")
     marked = (
-        _anchor_rows(docs, length)
-        .repartition("h")
+        rows.repartition("h")
         .withColumn("nc", F.sum("w").over(by_context))
-        .withColumn("lead", (F.row_number().over(by_context.orderBy(F.desc("w"), "doc_id", "s")) == 1) & (F.col("w") > 0))
+        .withColumn("lead", (F.row_number().over(by_context.orderBy(F.desc("w"), "doc_id", "mark", "s")) == 1) & (F.col("w") > 0))
         .withColumn("nh", F.sum("w").over(by_anchor))
         .filter("nh > 1 or w = 0")
         .withColumn("kh", F.sum(F.col("lead").cast("long")).over(by_anchor))
     )
-    marked = common.stored(marked.drop("nh"), "anchors")
-    whole = marked.filter("nc > 1 or w = 0").select("doc_id", "s", (F.col("s") + F.col("n") + (length - 1)).alias("e"))
-    differ = marked.filter("kh > 1 and lead")
-    small, large = differ.filter(F.col("kh") <= block_most), differ.filter(F.col("kh") > block_most)
-    spans = whole.unionByName(_sorted_blocks(_contexts(small, docs, length), length)).unionByName(_counted_windows(_contexts(large, docs, length), length))
-    return copies, spans
+    return common.stored(marked.drop("nh"), "anchors")
+
+
+def _named(docs: DataFrame, *more) -> DataFrame:
+    """doc_id, text and mark, a hash of the text: rows of one doc_id and mark have one text, also where doc_id is null or repeats."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"), *more)
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, block_most: int = BLOCK_MOST) -> tuple[DataFrame, DataFrame]:
+    """Of named texts (_named) those of at least length bytes that have copies (doc_id, mark), and byte ranges covered by repeated strings in the other texts (doc_id, mark, s, e)."""
+    if length != LENGTH:
+        raise ValueError(f"the difference cover is laid out for {LENGTH} bytes")
+    digests = docs.filter(F.octet_length("text") >= length).select("doc_id", "mark", F.md5(F.col("text").cast("binary")).alias("digest"))
+    many = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    copies = digests.join(many, "digest", "left_semi").select("doc_id", "mark")
+    rows, spans = _anchor_rows(docs, length), []
+    for width in (*WIDTHS, None):
+        marked = _marked(rows)
+        spans.append(marked.filter("nc > 1 or w = 0").select("doc_id", "mark", "s", (F.col("s") + F.col("n") + (length - 1)).alias("e")))
+        differ = marked.filter("kh > 1 and lead")
+        small, large = differ.filter(F.col("kh") <= block_most), differ.filter(F.col("kh") > block_most)
+        spans.append(_sorted_blocks(_contexts(small, docs, length), length))
+        if width is None or large.isEmpty():
+            break
+        rows = _ranges(_contexts(large, docs, length), width, length)
+    return copies, functools.reduce(DataFrame.unionByName, spans)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -310,14 +340,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_most: int = BLOC
     """What is left of each text without the bytes covered by strings of length bytes that also start elsewhere.
 
     A null text counts as empty; matches never cross documents; all copies of a repeat go, the first included. doc_id
-    tells documents apart: rows with one doc_id are copies if their texts are equal, and a row without one is neither
-    searched nor changed. With keep, the column kept follows, the text that is left (characters that a cut has split go),
-    and the column row with all columns of docs; without it, other columns are not read.
+    is carried along only: it may be null or occur in several rows, of one text (copies of each other) or of several. With
+    keep, the column kept follows, the text that is left (characters that a cut has split go), and the column row with all
+    columns of docs; without it, other columns are not read. An empty table gives no rows.
     """
     whole = [F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row")] if keep else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *whole)
-    copies, spans = repeats(common.texts(docs).filter("doc_id is not null"), length, block_most)
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    rows = _named(docs, F.col("doc_id").cast("long").alias("key"), *whole)
+    copies, spans = repeats(_named(docs), length, block_most)
+    lists = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     flags = copies.distinct().withColumn("copied", F.lit(True))
     plain = common.arrow_schema(RESULT + ", kept string" * keep)
     result = StructType([*StructType.fromDDL(RESULT), *([StructField("kept", StringType()), rows.schema["row"]] if keep else [])])
@@ -344,7 +374,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_most: int = BLOC
                 made = common.batch(plain, *zip(*rows))
                 yield pa.RecordBatch.from_arrays([*made.columns, *b.columns[4:]], names=result.names)
 
-    joined = rows.join(lists, "doc_id", "left").join(flags, "doc_id", "left").select("doc_id", "text", "spans", "copied", *(["row"] if keep else []))
+    joined = rows.join(lists, ["doc_id", "mark"], "left").join(flags, ["doc_id", "mark"], "left").select("key", "text", "spans", "copied", *(["row"] if keep else []))
     return joined.mapInArrow(run, result)
 
 

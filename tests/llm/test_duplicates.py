@@ -61,12 +61,35 @@ def test_op2(spark, most):
 
 def test_op2_edges(clashing, nothing):
     got = {r.doc_id: r for r in suffixes.remove_repeats(clashing).collect()}
-    want = _repeats([(d, (t or "").encode()) for d, t in edge_rows()])
-    assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items() if d is not None} == want
-    assert got[None].n_removed == 0 and got[None].row.lang == "en"
+    rows = [*edge_rows(), (None, "without an id " * 30)]
+    want = _repeats([(d, (t or "").encode()) for d, t in rows])
+    assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items()} == want
+    assert got[None].row.lang == "en"
     assert suffixes.remove_repeats(nothing).count() == 0
 
 
+def test_op2_rows_without_an_id_of_their_own(spark):
+    """Null and repeated doc_ids, with equal and with different texts."""
+    rnd = random.Random(7)
+    make = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    a, b, c = make(400), make(390), make(260)
+    rows = [(1, a), (1, b), (2, b[:250] + make(50)), (None, c), (None, "x" + c), (3, a[:210]), (3, a[:210]), (None, None), (None, ""), (4, make(500))]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = _repeats([(i, (t or "").encode()) for i, (_, t) in enumerate(rows)])
+    mine = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
+    assert mine == collections.Counter((rows[i][0], *x) for i, x in want.items())
+
+
+def test_op2_large_blocks(spark):
+    """One string in many texts, with other bytes around it in each: its blocks are split by longer strings."""
+    rnd = random.Random(1)
+    make = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    shared = make(230)
+    rows = [(i, make(rnd.randrange(80)) + shared[rnd.choice([0, 0, 5, 25]) :] + make(rnd.randrange(80))) for i in range(150)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_most=4).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == _repeats([(d, t.encode()) for d, t in rows])
+
+
 def _lcs(a, b, band=10**9):
     best = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
