@@ -2,6 +2,7 @@
 
 Documents are cut freely: whole windows first, the rest in small pieces, which multiway differencing deals out to
 windows of nearly equal length. When a window exceeds the capacity, the count of windows rises and dealing starts anew.
+What is left at the end of an input split, less than WINDOWS windows, is dealt together with what other splits leave.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import zlib
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common, library
 
@@ -59,9 +61,50 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = WINDOW) -> Da
 
     Each id lies in exactly one piece; the end id closes each document, so that a null or empty text is one id.
     Sequences are gapless from offset 0 and at most window long. Repeated rows are packed each for itself. Sequence ids
-    follow from the place of the input split, so a task that runs again gives the same ids; other columns are not read.
+    follow from the place of the input split and, for what splits leave, from the hash of the piece, so a task that runs
+    again gives the same ids. An empty table gives no pieces; other columns are not read.
     """
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    placed = common.stored(_by_split(docs, vocabulary, end, window, ddl), "packed")
+    left = placed.filter("sequence_id is null").select("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    tokens = left.agg(F.sum("length")).first()[0] or 0
+    return placed.filter("sequence_id is not null").unionByName(_left_over(left, max(1, tokens // (window * WINDOWS)), window, ddl))
+
+
+def _left_over(left: DataFrame, tasks: int, window: int, ddl: str) -> DataFrame:
+    """Windows of the pieces that splits leave, dealt in so many tasks; none holds many more pieces than WINDOWS windows at a time."""
+    schema = common.arrow_schema(ddl)
+
+    def run(batches):
+        sequence = itertools.count((1 << 62) + (TaskContext.get().partitionId() << 36))
+        held: list[tuple] = []
+        total = 0
+
+        def settle():
+            rows = []
+            for way in deal([x[2] for x in held], window):
+                number, offset = next(sequence), 0
+                for i in way:
+                    rows.append((*held[i], number, offset))
+                    offset += held[i][2]
+            held.clear()
+            return common.batch(schema, *zip(*rows))
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                held.append(row)
+                total += row[2]
+                if total >= window * (WINDOWS - 1):
+                    yield settle()
+                    total = 0
+        if held:
+            yield settle()
+
+    return left.repartition(tasks, *left.columns).sortWithinPartitions(*left.columns).mapInArrow(run, ddl)
+
+
+def _by_split(docs: DataFrame, vocabulary: str, end: int, window: int, ddl: str) -> DataFrame:
+    """The pieces of each input split in its own windows; sequence_id is null for what does not fill WINDOWS of them."""
     schema = common.arrow_schema(ddl)
     piece = max(1, min(PIECE, window))
 
@@ -107,8 +150,8 @@ def pack(docs: DataFrame, vocabulary: str, end: int, window: int = WINDOW) -> Da
                         total = 0
                 if rows:
                     yield out()
-        if rests:
-            settle()
+        for doc, start, data, whole in rests:
+            place(doc, start, data, whole, None, None)
         if rows:
             yield out()
 

@@ -162,3 +162,12 @@ def test_op10(clashing, nothing):
     for _, s in rows.sort_values("offset").groupby("sequence_id"):
         assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 1024
     assert packing.pack(nothing, JSON, 0).count() == 0
+
+
+@pytest.mark.parametrize("splits", [1, 32, 211])
+def test_op10_padding(spark, splits):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(splits)
+    rows = packing.pack(docs, JSON, 0).toPandas()
+    sums = rows.groupby("sequence_id").length.sum()
+    assert sums.max() <= 1024 and sums.sum() >= 0.99 * 1024 * len(sums)
+    assert sums.sum() == rows.drop_duplicates("doc_id").doc_tokens.sum()
