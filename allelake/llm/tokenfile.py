@@ -25,7 +25,9 @@ from pyspark.sql import Window as W
 
 from . import common, library
 
-BLOCK, PERCENTILE, SEGMENT_IDS = 256, 90, 1 << 20
+BLOCK, PERCENTILE, #: UTF-8 bytes of the texts of a shard, about, once there are more of them than shuffle partitions.
+SHARD_BYTES = 128 << 20
+SEGMENT_IDS = 256, 90, 1 << 20
 MAGIC = b"PFR1"
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
@@ -151,7 +153,7 @@ def write_ids(docs: DataFrame, vocabulary: str, end: int, segment_ids: int = SEG
     """The stored segments of all whole texts in ascending doc_id order.
 
     Columns: shard (ascending with doc_id), first (ids of the shard before the segment), n_ids, segment. A null text
-    counts as empty and holds the end id alone; a null doc_id comes first. Equal doc_ids stand together, in order of their text. A document that is longer
+    counts as empty and holds the end id alone; a null doc_id comes first. Equal doc_ids stand together, in order of a hash of their text. A document that is longer
     than segment_ids fills a segment by itself. An empty table gives no segments.
     """
     ddl = "shard int, first long, n_ids long, segment binary"
@@ -178,8 +180,12 @@ def write_ids(docs: DataFrame, vocabulary: str, end: int, segment_ids: int = SEG
         if held:
             yield flush()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = common.texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = common.texts(docs)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    # Rows of one doc_id may lie in several shards: they are ordered by a hash of their text first.
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(n, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     return common.stored(ordered.mapInArrow(run, ddl), "token-ids")
 
 
