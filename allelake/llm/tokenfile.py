@@ -25,9 +25,9 @@ from pyspark.sql import Window as W
 
 from . import common, library
 
-BLOCK, PERCENTILE, #: UTF-8 bytes of the texts of a shard, about, once there are more of them than shuffle partitions.
+BLOCK, PERCENTILE, SEGMENT_IDS = 256, 90, 1 << 20
+#: UTF-8 bytes of the texts of a shard, about, once there are more of them than shuffle partitions.
 SHARD_BYTES = 128 << 20
-SEGMENT_IDS = 256, 90, 1 << 20
 MAGIC = b"PFR1"
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
