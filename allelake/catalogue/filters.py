@@ -14,7 +14,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _filter(name: str, params: dict, where: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: filters.query(lens.wide(spark, sf_dir, filters.parts(params)), params).select("key")
+    QUERIES[name] = lambda spark, sf_dir: filters.select(lens.variants(spark, sf_dir), lens.tables(spark, sf_dir), params, lens.PEDIGREES, lens.knowledge(spark, sf_dir)).select("key")
     ORACLE_SQL[name] = f"{lens.SQL} SELECT key FROM variants v WHERE {where}"
 
 
@@ -45,6 +45,12 @@ _ALT = "list_contains(string_split_regex(gt, '[/|]'), '1')"
 _filter("f07_sample_all", {"sample": "1;2"}, f"{_call(f'sample = 1 AND {_ALT}')} AND {_call(f'sample = 2 AND {_ALT}')}")
 _filter("f07_sample_any_not", {"sample": "3;!4"}, f"{_call(f'sample = 3 AND {_ALT}')} AND NOT {_call(f'sample = 4 AND {_ALT}')}")
 _filter("f08_genotype", {"genotype": "1:0/1,1/1;2:2/1"}, f"{_call("sample = 1 AND gt IN ('0/1', '1/0', '0|1', '1|0', '1/1', '1|1')")} AND {_call("sample = 2 AND gt IN ('2/1', '1/2', '2|1', '1|2')")}")
+_filter("f08_genotype_any_second_alternate", {"genotype": "2:1/3,0/0"}, _call("sample = 2 AND (gt = '0/0' OR regexp_full_match(gt, '(1[/|]([2-9]|[1-9][0-9]+))|(([2-9]|[1-9][0-9]+)[/|]1)'))"))
+_filter("f07_sample_names", {"sample": "NA12801;!NA12802"}, f"{_call(f'sample = 1 AND {_ALT}')} AND NOT {_call(f'sample = 2 AND {_ALT}')}")
+_filter("f07_sample_genotypes", {"sample": "NA12803:0/1;NA12805:HOM_ALT"}, f"{_call("sample = 3 AND gt IN ('0/1', '1/0', '0|1', '1|0')")} AND {_call("sample = 5 AND gt IN ('1/1', '1|1')")}")
+_filter("f09_sample_data_names", {"sampleData": "12:dp>20,gq>=60;NA12813:dp>5"}, f"{_call('sample = 12 AND (dp > 20 OR gq >= 60)')} AND {_call('sample = 13 AND dp > 5')}")
+_filter("f09_sample_data_genotype", {"sampleData": "4:GT=1/1;dp>=10"}, _call("sample = 4 AND gt IN ('1/1', '1|1') AND dp >= 10"))
+_filter("f11_file_data_names", {"fileData": "file1:FILTER=LowQ,qual>60;file2:qual<=20"}, f"{_call("file = 'file1' AND (list_contains(filter, 'LowQ') OR qual > 60)")} AND {_call("file = 'file2' AND qual <= 20")}")
 _filter("f08_genotype_class", {"genotype": "5:HOM_ALT,HET_ALT"}, _call("sample = 5 AND gt IN ('1/1', '1|2')"))
 _filter("f08_genotype_not", {"genotype": "5:!0/1,!1/1"}, f"NOT {_call("sample = 5 AND gt IN ('0/1', '1/0', '0|1', '1|0', '1/1', '1|1')")}")
 _filter("f09_sample_data", {"sampleData": "1:dp>30;gq<90"}, _call("sample = 1 AND dp > 30 AND gq < 90"))
@@ -58,6 +64,70 @@ _filter("f21_score", {"functionalScore": "cadd_scaled>=20;cadd_scaled<30"}, "cad
 _filter("f22_frequency_alt", {"populationFrequencyAlt": "S:ALL<0.1"}, "coalesce(freq, 0) < 0.1")
 _filter("f22_frequency_ref", {"populationFrequencyRef": "S:ALL>=0.95"}, "1 - coalesce(freq, 0) >= 0.95")
 _filter("f22_frequency_maf", {"populationFrequencyMaf": "S:ALL>0.4"}, "least(coalesce(freq, 0), 1 - coalesce(freq, 0)) > 0.4")
+_filter("f22_frequency_populations", {"populationFrequencyAlt": "S:ALL<0.1;1000G:ALL<0.2"}, "coalesce(freq, 0) < 0.1 AND coalesce(freq2, 0) < 0.2")
+_filter("f22_frequency_unknown", {"populationFrequencyAlt": "GNOMAD:AFR<=0", "type": "SNV"}, "type = 'SNV'")
+_filter("f21_variant_score", {"score": "gwas1>=0.5"}, "gwas1 >= 0.5")
+_filter("f21_variant_score_missing", {"score": "gwas1<<0.1"}, "gwas1 IS NULL OR gwas1 < 0.1")
+_filter("f31_conservation_sources", {"conservation": "phylop>0.5;gerp<=3"}, "phylop > 0.5 AND gerp <= 3")
+_filter("f32_functional_raw", {"functionalScore": "cadd_raw>=8,cadd_scaled>38"}, "cadd_raw >= 8 OR cadd > 38")
+_filter("f30_polyphen", {"proteinSubstitution": "polyphen>0.9;sift<0.1"}, f"{_ct('polyphen > 0.9')} AND {_ct('sift < 0.1')}")
+_filter("f30_polyphen_text", {"proteinSubstitution": "polyphen=probably damaging"}, _ct("polyphen >= 0.91"))
+_filter("f30_legacy", {"polyphen": "<0.2", "sift": "tolerated"}, f"{_ct('polyphen < 0.2')} AND {_ct('sift >= 0.05')}")
+_filter("f34_gene_trait", {"geneTraitId": "OMIM:1"}, "key % 8 = 0")
+_filter("f34_gene_trait_name", {"geneTraitName": "short stature;!Marfan syndrome"}, "key % 8 = 1")
+_filter("f34_hpo", {"hpo": "HP:0001"}, "key % 8 IN (0, 1)")
+_filter("f38_drug", {"drug": "tamoxifen"}, "key % 9 = 4")
+_filter("f38_protein_keyword", {"proteinKeyword": "Kinase;!Membrane"}, "key % 10 = 0")
+_filter("f39_custom_number", {"customAnnotation": "depth>=40"}, "key % 4 <> 1 AND key % 50 >= 40")
+_filter("f39_custom_text", {"customAnnotation": "class=K3,depth<2"}, "key % 5 = 3 OR (key % 4 <> 1 AND key % 50 < 2)")
+_filter("f41_source", {"source": "secondary_sample_index", "sample": "6"}, _call(f"sample = 6 AND {_ALT}"))
+_filter("f42_legacy_sources", {"clinvar": "clinvar", "cosmic": "cosmic"}, f"{_evidence("source = 'clinvar'")} AND {_evidence("source = 'cosmic'")}")
+_filter("f24_xref_traits", {"xref": "HP:0001;!G17"}, f"key % 8 IN (0, 1) AND NOT {_ct("gene = 'G17'")}")
+_COHORTS = ", s AS (SELECT key, cohort, count(*) AS n, sum(len(list_filter(string_split_regex(gt, '[/|]'), lambda x: x = '1'))) / 10.0 AS alt, 1 - sum(len(list_filter(string_split_regex(gt, '[/|]'), lambda x: x NOT IN ('0', '.')))) / 10.0 AS ref, least(5 - count(*) + count(*) FILTER (WHERE gt = '0/0'), count(*) FILTER (WHERE gt = '0/1'), count(*) FILTER (WHERE gt = '1/1')) / 5.0 AS mgf, count(*) FILTER (WHERE list_contains(filter, 'PASS')) / CAST(count(*) AS DOUBLE) AS pass FROM calls JOIN members USING (sample) GROUP BY 1, 2)"
+
+
+def _cohort(where: str) -> str:
+    return f"EXISTS (SELECT 1 FROM s WHERE s.key = v.key AND {where})"
+
+
+def _cohort_filter(name: str, params: dict, where: str) -> None:
+    _filter(name, params, where)
+    ORACLE_SQL[name] = f"{lens.SQL}{_COHORTS} SELECT key FROM variants v WHERE {where}"
+
+
+_cohort_filter("f14_cohort", {"cohort": "SO:C1;!C2"}, f"study = 'SO' AND {_cohort("cohort = 'C1'")} AND NOT {_cohort("cohort = 'C2'")}")
+_cohort_filter("f15_cohort_ref", {"cohortStatsRef": "C1<0.85"}, _cohort("cohort = 'C1' AND ref < 0.85"))
+_cohort_filter("f16_cohort_alt", {"cohortStatsAlt": "SF:C3>=0.15;C0<<0.25"}, f"study = 'SF' AND {_cohort("cohort = 'C3' AND alt >= 0.15")} AND ({_cohort("cohort = 'C0' AND alt < 0.25")} OR NOT {_cohort("cohort = 'C0'")})")
+_cohort_filter("f17_cohort_minor", {"cohortStatsMaf": "C2>0.15"}, _cohort("cohort = 'C2' AND least(alt, ref) > 0.15"))
+_cohort_filter("f18_cohort_minor_genotype", {"cohortStatsMgf": "C0>0"}, _cohort("cohort = 'C0' AND mgf > 0"))
+_cohort_filter("f19_cohort_pass", {"cohortStatsPass": "C1>=0.5,C2>=0.9"}, f"{_cohort("cohort = 'C1' AND pass >= 0.5")} OR {_cohort("cohort = 'C2' AND pass >= 0.9")}")
+_cohort_filter("f20_missing_alleles", {"missingAlleles": "C3<=6"}, _cohort("cohort = 'C3' AND 10 - 2 * n <= 6"))
+_cohort_filter("f20_missing_genotypes", {"missingGenotypes": "C0<4;C1<5"}, f"{_cohort("cohort = 'C0' AND 5 - n < 4")} AND {_cohort("cohort = 'C1' AND 5 - n < 5")}")
+
+
+def _gene_set(where: str) -> str:
+    return _ct(f"CAST(substr(gene, 2) AS INT) IN (SELECT p_partkey % 300 FROM part) AND {where}")
+
+
+_NUMBER = "CAST(substr(gene, 2) AS INT)"
+_filter("f37_go", {"go": "GO:2,GO:5", "type": "SNV"}, f"type = 'SNV' AND {_gene_set(f'{_NUMBER} % 7 IN (2, 5)')}")
+_filter("f37_expression", {"expression": "tissue3", "ct": "stop_gained"}, f"{_gene_set(f'{_NUMBER} % 5 = 3')} AND {_ct("term = 'stop_gained'")}")
+_filter("f37_role_in_cancer", {"geneRoleInCancer": "TSG"}, _gene_set(f"{_NUMBER} % 11 = 0"))
+_filter("f37_no_genes", {"go": "GO:99", "type": "SNV"}, "type = 'none'")
+_filter("f44_panel", {"panel": "panel4", "filter": "PASS"}, f"{_gene_set(f'{_NUMBER} % 13 = 4')} AND {_call("list_contains(filter, 'PASS')")}")
+_filter("f44_family", {"family": "trio1"}, _call(f"sample IN (3, 4, 5) AND {_ALT}"))
+
+
+def _role(sample: int, *classes: str) -> str:
+    held = _call(f"sample = {sample} AND {_CLASS} IN ({', '.join(f"'{c}'" for c in classes)})")
+    return f"({held} OR NOT {_call(f'sample = {sample}')})" if "HOM_REF" in classes else held
+
+
+_CLASS = "CASE gt WHEN '0/0' THEN 'HOM_REF' WHEN '1/1' THEN 'HOM_ALT' WHEN '0/1' THEN 'HET_REF' ELSE 'HET_ALT' END"
+_filter("f44_segregation_recessive", {"family": "trio0", "familySegregation": "autosomalRecessive"}, f"{_role(0, 'HOM_ALT')} AND {_role(1, 'HET_REF')} AND {_role(2, 'HET_REF')}")
+_filter("f07_sample_mode_dominant", {"sample": "3:AUTOSOMAL_DOMINANT"}, f"{_role(3, 'HET_REF', 'HOM_ALT')} AND {_role(4, 'HOM_REF')} AND {_role(5, 'HET_REF', 'HOM_ALT')}")
+_filter("f07_sample_mode_de_novo", {"sample": "6:deNovoStrict,9:deNovoStrict"}, " OR ".join(f"({_role(c, 'HET_REF', 'HET_ALT', 'HOM_ALT')} AND {_role(c + 1, 'HOM_REF')} AND {_role(c + 2, 'HOM_REF')})" for c in (6, 9)))
+_filter("f27_ct_number", {"ct": "1583,SO:0001587"}, _ct("term IN ('missense_variant', 'stop_gained')"))
 _filter("f23_annotated", {"annotationExists": "false"}, "NOT EXISTS (SELECT 1 FROM cts c WHERE c.key = v.key)")
 _filter("f24_xref", {"xref": "rs12,G17,cosmic"}, f"coalesce(rs = 'rs12', FALSE) OR {_ct("gene = 'G17'")} OR {_evidence("source = 'cosmic'")}")
 _filter("f25_gene", {"gene": "G5,G6"}, _ct("gene IN ('G5', 'G6')"))

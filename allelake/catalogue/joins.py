@@ -83,19 +83,47 @@ def j12_trio_genotypes(spark, sf_dir):
     return _trios(spark, sf_dir)
 
 
-_ALLELES = ", a AS (SELECT *, string_split_regex(child, '[/|]') AS c, string_split_regex(father, '[/|]') AS f, string_split_regex(mother, '[/|]') AS m FROM t), e AS (SELECT *, CASE WHEN (list_contains(f, c[1]) AND list_contains(m, c[2])) OR (list_contains(f, c[2]) AND list_contains(m, c[1])) THEN 0 WHEN NOT (list_contains(f, c[1]) OR list_contains(f, c[2])) AND NOT (list_contains(m, c[1]) OR list_contains(m, c[2])) THEN 4 WHEN NOT (list_contains(f, c[1]) OR list_contains(f, c[2])) THEN 1 WHEN NOT (list_contains(m, c[1]) OR list_contains(m, c[2])) THEN 2 ELSE 3 END AS code FROM a)"
+_CODES = ", a AS (SELECT *, string_split_regex(child, '[/|]') AS c, string_split_regex(father, '[/|]') AS f, string_split_regex(mother, '[/|]') AS m FROM t), l AS (SELECT *, NOT list_contains(f, c[1]) AS nf, NOT list_contains(m, c[1]) AS nm FROM a), e AS (SELECT *, CASE WHEN c[1] = c[2] THEN CASE WHEN nf AND nm THEN CASE WHEN c[1] = '0' THEN 8 ELSE 5 END WHEN nf THEN CASE WHEN c[1] = '0' THEN 6 ELSE 3 END WHEN nm THEN CASE WHEN c[1] = '0' THEN 7 ELSE 4 END ELSE 0 END WHEN (NOT nf AND list_contains(m, c[2])) OR (list_contains(f, c[2]) AND NOT nm) THEN 0 WHEN (c[1] <> '0' AND nf AND nm) OR (c[2] <> '0' AND NOT list_contains(f, c[2]) AND NOT list_contains(m, c[2])) THEN 2 ELSE 1 END AS code FROM l)"
 
 
-@_add(lens.SQL + _TRIO + _ALLELES + " SELECT key, trio, code, child <> '0/0' AS de_novo, child <> '0/0' AND father = '0/0' AND mother = '0/0' AS strict FROM e WHERE code > 0")
+@_add(lens.SQL + _TRIO + _CODES + " SELECT key, trio, code, code IN (2, 3, 4, 5) AS de_novo, code IN (2, 5) AS strict FROM e WHERE code > 0")
 def j13_mendelian_errors(spark, sf_dir):
     return families.mendelian_errors(_trios(spark, sf_dir)).select("key", "trio", "code", "de_novo", "strict")
 
 
-@_add(lens.SQL + _TRIO + " SELECT key, trio, 'autosomalRecessive' AS mode FROM t WHERE child = '1/1' AND father = '0/1' AND mother = '0/1' UNION ALL SELECT key, trio, 'autosomalDominant' FROM t WHERE child IN ('0/1', '1/1') AND father = '0/0' AND mother IN ('0/1', '1/1') UNION ALL SELECT key, trio, 'deNovo' FROM t WHERE child <> '0/0' AND father = '0/0' AND mother = '0/0'")
+_MODES = {
+    "autosomalRecessive": "child = '1/1' AND father = '0/1' AND mother = '0/1'",
+    "autosomalDominant": "child IN ('0/1', '1/1') AND father = '0/0' AND mother IN ('0/1', '1/1')",
+    "deNovo": "(child IN ('0/1', '1|2') AND father = '0/0' AND mother = '0/0') OR (child = '1/1' AND (father = '0/0' OR mother = '0/0'))",
+}
+
+
+@_add(lens.SQL + _TRIO + " UNION ALL ".join(f" SELECT key, trio, '{m}' AS mode FROM t WHERE {w}" for m, w in _MODES.items()))
 def j14_modes(spark, sf_dir):
-    t = _trios(spark, sf_dir)
-    out = [families.by_mode(t, m).select("key", "trio", F.lit(m).alias("mode")) for m in families.MODES]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return families.by_modes(_trios(spark, sf_dir).withColumn("chrom", F.lit("1")), tuple(_MODES)).select("key", "trio", "mode")
+
+
+_ON = "CASE WHEN key % 5 = 0 THEN 'X' WHEN key % 5 = 1 THEN 'Y' WHEN key % 5 = 2 THEN 'MT' ELSE '1' END"
+_LINKED = {
+    "xLinkedRecessive": "c = 'X' AND child = '1/1' AND father = '0/0' AND mother = '0/1'",
+    "xLinkedDominant": "c = 'X' AND ((child IN ('0/1', '1/1') AND father = '0/0' AND mother IN ('0/1', '1/1')) OR (child = '0/1' AND father = '1/1' AND mother = '0/0'))",
+    "yLinked": "c = 'Y' AND child = '1/1' AND father = '1/1'",
+    "mitochondrial": "c = 'MT' AND child IN ('0/1', '1/1') AND mother IN ('0/1', '1/1')",
+    "deNovoStrict": "c = '1' AND child <> '0/0' AND father = '0/0' AND mother = '0/0'",
+    "mendelianError": "(child IN ('0/1', '1|2') AND father = '0/0' AND mother = '0/0' AND c = '1') OR (c = '1' AND ((child = '0/1' AND father = '1/1' AND mother = '1/1') OR (child = '1/1' AND (father = '0/0' OR mother = '0/0')) OR (child = '0/0' AND (father = '1/1' OR mother = '1/1')))) OR (c IN ('X', 'MT') AND ((child = '0/0' AND mother = '1/1') OR (child = '1/1' AND mother = '0/0'))) OR (c = 'Y' AND ((child = '0/0' AND father = '1/1') OR (child = '1/1' AND father = '0/0')))",
+}
+
+
+@_add(lens.SQL + _TRIO + f", o AS (SELECT *, {_ON} AS c FROM t)" + " UNION ALL ".join(f" SELECT key, trio, '{m}' AS mode FROM o WHERE {w}" for m, w in _LINKED.items()))
+def j14_modes_by_chromosome(spark, sf_dir):
+    """Modes bound to sex chromosomes and mitochondria, strict de novo and Mendelian errors, in one pass."""
+    return families.by_modes(_trios(spark, sf_dir).withColumn("chrom", F.expr(_ON)), tuple(_LINKED)).select("key", "trio", "mode")
+
+
+@_add(lens.SQL + _TRIO + f", h AS (SELECT trio, key, CASE WHEN {_ALT.format('father')} THEN 'father' ELSE 'mother' END AS origin FROM t WHERE child = '0/1' AND ({_ALT.format('father')}) <> ({_ALT.format('mother')})), g AS (SELECT DISTINCT key, gene FROM cts), r2 AS (SELECT * FROM h JOIN g USING (key)) SELECT key, trio, gene, origin FROM r2 WHERE (trio, gene) IN (SELECT (trio, gene) FROM r2 GROUP BY trio, gene HAVING count(DISTINCT origin) = 2)")
+def j11_compound_heterozygous_variants(spark, sf_dir):
+    """The variants that pair, one row each, with the gene and the parent that they come from."""
+    return families.compound_heterozygous_variants(_trios(spark, sf_dir), lens.consequences(spark, sf_dir), "gene")
 
 
 @_add(lens.SQL + _TRIO + f", h AS (SELECT trio, key, CASE WHEN {_ALT.format('father')} THEN 'father' ELSE 'mother' END AS origin FROM t WHERE child = '0/1' AND ({_ALT.format('father')}) <> ({_ALT.format('mother')})), g AS (SELECT DISTINCT key, gene FROM cts) SELECT trio, gene, count(*) FILTER (WHERE origin = 'father') AS n_father, count(*) FILTER (WHERE origin = 'mother') AS n_mother, count(*) FILTER (WHERE origin = 'father') * count(*) FILTER (WHERE origin = 'mother') AS n_pairs FROM h JOIN g USING (key) GROUP BY 1, 2 HAVING n_pairs > 0")

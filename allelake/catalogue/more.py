@@ -44,10 +44,11 @@ def f37_gene_set(spark, sf_dir):
     return lens.consequences(spark, sf_dir).join(genes, "gene", "left_semi").select("key").distinct()
 
 
-@_add(" SELECT key FROM variants WHERE FALSE")
+@_add(" SELECT v.key, 'GO:2' AS term FROM variants v WHERE EXISTS (SELECT 1 FROM cts c WHERE c.key = v.key AND CAST(substr(gene, 2) AS INT) IN (SELECT p_partkey % 300 FROM part) AND CAST(substr(gene, 2) AS INT) % 7 = 2)")
 def f37_gene_set_empty(spark, sf_dir):
-    genes = _sets(spark).filter("set_term = 'GO:none'").select("gene")
-    return lens.consequences(spark, sf_dir).join(genes, "gene", "left_semi").select("key").distinct()
+    """Of two terms, one without genes: it adds no variant."""
+    ask = lambda term: filters.select(lens.variants(spark, sf_dir), lens.tables(spark, sf_dir), {"go": term}, knowledge=lens.knowledge(spark, sf_dir)).select("key", F.lit(term).alias("term"))
+    return ask("GO:2").unionByName(ask("GO:none"))
 
 
 @_add(" SELECT key, cohort FROM (SELECT key, cohort, 2 * 5 - 2 * count(*) AS missing_alleles, 5 - count(*) AS missing_genotypes FROM calls JOIN members USING (sample) GROUP BY 1, 2) WHERE missing_alleles >= 8 AND missing_genotypes < 5")
@@ -59,9 +60,8 @@ def f20_missing(spark, sf_dir):
 @_add(f" SELECT key FROM variants v WHERE EXISTS (SELECT 1 FROM cts c WHERE c.key = v.key AND gene IN ('G1', 'G2', 'G3')) AND EXISTS (SELECT 1 FROM calls c WHERE c.key = v.key AND sample = 0 AND gt = '1/1') AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.key = v.key AND sample IN (1, 2) AND gt IN ('1/1', '1|1'))")
 def f44_panel_recessive(spark, sf_dir):
     """A panel's genes and a recessive mode for one family: the child homozygous, the parents not."""
-    params = {"gene": "G1,G2,G3", "genotype": "0:1/1"}
-    rows = filters.query(lens.wide(spark, sf_dir, ("cts", "calls")), params)
-    return rows.filter(filters.genotype_condition("1:!1/1") & filters.genotype_condition("2:!1/1")).select("key")
+    params = {"gene": "G1,G2,G3", "genotype": "0:1/1;1:!1/1;2:!1/1"}
+    return filters.select(lens.variants(spark, sf_dir), lens.tables(spark, sf_dir), params).select("key")
 
 
 @_add(" SELECT key, chrom, start, string_agg(gene, ',' ORDER BY gene) AS genes FROM variants JOIN (SELECT DISTINCT key, gene FROM cts) USING (key) WHERE type = 'SNV' AND chrom = '6' GROUP BY 1, 2, 3")
@@ -73,7 +73,7 @@ def p01_projection(spark, sf_dir):
 @_add(" SELECT key, chrom, start, \"end\", reference, alternate, type FROM variants WHERE chrom = '8'")
 def p01_exclude(spark, sf_dir):
     rows = filters.query(lens.variants(spark, sf_dir), {"region": "8"})
-    return project(rows, exclude=("release", "study", "cadd", "freq", "phastcons", "trait", "rs"))
+    return project(rows, exclude=("release", "study", "cadd", "freq", "phastcons", "trait", "rs", "pops", "functional", "conserved", "scores", "custom", "gene_traits", "drugs", "keywords"))
 
 
 @_add(f" SELECT DISTINCT sample FROM calls WHERE {_CARRIED} AND key IN (SELECT key FROM variants WHERE chrom = '1' AND start <= 20000)")
@@ -175,14 +175,8 @@ def a20_aggregated(spark, sf_dir):
     return tags.select("key", F.round(freq, 9).alias("alt_freq"), F.round(1 - freq, 9).alias("ref_freq"), F.round(V.minor(freq), 9).alias("maf"), "hom")
 
 
-@_add(" SELECT key, string_agg(DISTINCT gene, ',' ORDER BY gene) AS genes, string_agg(DISTINCT gene || '_' || term, ',' ORDER BY gene || '_' || term) AS pairs FROM cts WHERE key % 5 = 0 GROUP BY 1")
-def x09_search_document(spark, sf_dir):
-    """The flat document of a variant: its genes, and genes with their terms."""
-    return _search_documents(lens.consequences(spark, sf_dir).filter("key % 5 = 0"))
-
-
 @_add(" SELECT key, string_agg(DISTINCT gene, ',' ORDER BY gene) AS genes, string_agg(DISTINCT gene || '_' || term, ',' ORDER BY gene || '_' || term) AS pairs FROM cts GROUP BY 1")
-def x09_search_document_all(spark, sf_dir):
+def x09_search_document(spark, sf_dir):
     """The same of every variant."""
     return _search_documents(lens.consequences(spark, sf_dir))
 
@@ -213,14 +207,8 @@ def w03_gaps(spark, sf_dir):
     return lens.variants(spark, sf_dir).withColumn("gap", gap).groupBy("chrom").agg(F.count(F.when(F.col("gap") <= 20, 1)).alias("clustered"), F.max("gap").alias("widest"))
 
 
-@_add(", a AS (SELECT chrom, start, \"end\" + 500 AS \"end\" FROM variants WHERE type = 'SNV' AND chrom = '3'), b AS (SELECT chrom, start, \"end\" + 500 AS \"end\" FROM variants WHERE type = 'MNV' AND chrom = '3') SELECT count(*) AS n FROM (SELECT DISTINCT p FROM (SELECT unnest(range(start, \"end\" + 1)) AS p FROM a) WHERE p IN (SELECT unnest(range(start, \"end\" + 1)) FROM b))")
-def u05_common_positions(spark, sf_dir):
-    """Positions that lie in intervals of both kinds."""
-    return _common_positions(lens.variants(spark, sf_dir).filter("chrom = '3'"))
-
-
 @_add(", a AS (SELECT chrom, start, \"end\" + 500 AS \"end\" FROM variants WHERE type = 'SNV'), b AS (SELECT chrom, start, \"end\" + 500 AS \"end\" FROM variants WHERE type = 'MNV') SELECT count(*) AS n FROM (SELECT DISTINCT chrom, p FROM (SELECT chrom, unnest(range(start, \"end\" + 1)) AS p FROM a) WHERE (chrom, p) IN (SELECT chrom, unnest(range(start, \"end\" + 1)) FROM b))")
-def u05_common_positions_all(spark, sf_dir):
+def u05_common_positions(spark, sf_dir):
     """The same of all chromosomes."""
     return _common_positions(lens.variants(spark, sf_dir))
 

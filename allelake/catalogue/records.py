@@ -39,17 +39,11 @@ def j20_merge_files(spark, sf_dir):
     return records.merge_files(lens.calls(spark, sf_dir))
 
 
-_ARCHIVE = "SELECT sample, chrom, start, start + CASE WHEN gt = '0/0' THEN 20000 ELSE key % 50 END AS \"end\", gt = '0/0' AS is_reference, gt FROM calls JOIN variants USING (key) WHERE sample < 4"
+_ARCHIVE = "SELECT sample, chrom, start, start + CASE WHEN gt = '0/0' THEN 20000 ELSE key % 50 END AS \"end\", gt = '0/0' AS is_reference, gt FROM calls JOIN variants USING (key)"
 
 
-@_add(lens.SQL + f", x AS ({_ARCHIVE}), vs AS (SELECT * FROM variants WHERE chrom IN ('1', '2')), m AS (SELECT v.key, v.chrom, v.start, v.\"end\", s.sample FROM vs v CROSS JOIN (SELECT * FROM members WHERE sample < 4) s WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.key = v.key AND c.sample = s.sample)), f AS (SELECT m.key, m.sample, count(*) FILTER (WHERE NOT is_reference) AS o, min(gt) FILTER (WHERE NOT is_reference) AS other, min(gt) FILTER (WHERE is_reference) AS ref FROM m LEFT JOIN x ON x.sample = m.sample AND x.chrom = m.chrom AND x.start <= m.\"end\" AND x.\"end\" >= m.start GROUP BY 1, 2) SELECT key, sample, CASE WHEN o > 1 THEN 'MULTI' WHEN o = 1 THEN 'VARIANT' WHEN ref IS NOT NULL THEN 'REFERENCE' ELSE 'GAP' END AS status, CASE WHEN o > 1 THEN '2/2' WHEN o = 1 THEN CASE other WHEN '1/1' THEN '2/2' WHEN '0/1' THEN '0/2' WHEN '1|2' THEN '2|.' END WHEN ref IS NOT NULL THEN ref ELSE './.' END AS gt FROM f")
+@_add(lens.SQL + f", x AS ({_ARCHIVE}), vs AS (SELECT * FROM variants), m AS (SELECT v.key, v.chrom, v.start, v.\"end\", s.sample FROM vs v CROSS JOIN members s WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.key = v.key AND c.sample = s.sample)), f AS (SELECT m.key, m.sample, count(*) FILTER (WHERE NOT is_reference) AS o, min(gt) FILTER (WHERE NOT is_reference) AS other, min(gt) FILTER (WHERE is_reference) AS ref FROM m LEFT JOIN x ON x.sample = m.sample AND x.chrom = m.chrom AND x.start <= m.\"end\" AND x.\"end\" >= m.start GROUP BY 1, 2) SELECT key, sample, CASE WHEN o > 1 THEN 'MULTI' WHEN o = 1 THEN 'VARIANT' WHEN ref IS NOT NULL THEN 'REFERENCE' ELSE 'GAP' END AS status, CASE WHEN o > 1 THEN '2/2' WHEN o = 1 THEN CASE other WHEN '1/1' THEN '2/2' WHEN '0/1' THEN '0/2' WHEN '1|2' THEN '2|.' END WHEN ref IS NOT NULL THEN ref ELSE './.' END AS gt FROM f")
 def j21_fill_gaps(spark, sf_dir):
-    v, c = lens.variants(spark, sf_dir), lens.calls(spark, sf_dir).filter("sample < 4")
-    return records.fill_gaps(v.filter("chrom IN ('1', '2')"), lens.members(spark).filter("sample < 4"), c, _archive(v, c))
-
-
-@_add(lens.SQL + f", x AS ({_ARCHIVE.removesuffix(' WHERE sample < 4')}), vs AS (SELECT * FROM variants), m AS (SELECT v.key, v.chrom, v.start, v.\"end\", s.sample FROM vs v CROSS JOIN members s WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.key = v.key AND c.sample = s.sample)), f AS (SELECT m.key, m.sample, count(*) FILTER (WHERE NOT is_reference) AS o, min(gt) FILTER (WHERE NOT is_reference) AS other, min(gt) FILTER (WHERE is_reference) AS ref FROM m LEFT JOIN x ON x.sample = m.sample AND x.chrom = m.chrom AND x.start <= m.\"end\" AND x.\"end\" >= m.start GROUP BY 1, 2) SELECT key, sample, CASE WHEN o > 1 THEN 'MULTI' WHEN o = 1 THEN 'VARIANT' WHEN ref IS NOT NULL THEN 'REFERENCE' ELSE 'GAP' END AS status, CASE WHEN o > 1 THEN '2/2' WHEN o = 1 THEN CASE other WHEN '1/1' THEN '2/2' WHEN '0/1' THEN '0/2' WHEN '1|2' THEN '2|.' END WHEN ref IS NOT NULL THEN ref ELSE './.' END AS gt FROM f")
-def j21_fill_gaps_all(spark, sf_dir):
     v, c = lens.variants(spark, sf_dir), lens.calls(spark, sf_dir)
     return records.fill_gaps(v, lens.members(spark), c, _archive(v, c))
 
@@ -90,13 +84,8 @@ def c03_granted(spark, sf_dir):
     return lens.calls(spark, sf_dir).join(grants, "sample", "left_semi").select("key", "sample")
 
 
-@_add(lens.SQL + "SELECT key FROM variants WHERE key % 4 = 1 AND key NOT IN (SELECT key FROM evidence)")
-def x06_pending(spark, sf_dir):
-    return lens.variants(spark, sf_dir).filter("key % 4 = 1").join(lens.clinical(spark, sf_dir), "key", "left_anti").select("key")
-
-
 @_add(lens.SQL + "SELECT key FROM variants WHERE key NOT IN (SELECT key FROM evidence)")
-def x06_pending_all(spark, sf_dir):
+def x06_pending(spark, sf_dir):
     return lens.variants(spark, sf_dir).join(lens.clinical(spark, sf_dir), "key", "left_anti").select("key")
 
 
@@ -108,19 +97,11 @@ def x01_sample_index(spark, sf_dir):
 
 #: All members.
 SAMPLES = list(range(20))
-_GTS = [f"coalesce(max(CASE WHEN sample = {s} THEN gt END), './.') AS g{s}" for s in range(3)]
-
-
-@_add(lens.SQL + f", g AS (SELECT v.key, chrom, start, rs, reference, alternate, \"end\", type, {', '.join(_GTS)} FROM variants v LEFT JOIN calls c USING (key) GROUP BY ALL) SELECT key, concat_ws(chr(9), chrom, start, coalesce(rs, '.'), reference, alternate, '.', 'PASS', 'END=' || \"end\" || ';TYPE=' || type, 'GT', g0, g1, g2) AS line FROM g")
-def k02_vcf_lines(spark, sf_dir):
-    return vcf.lines(lens.variants(spark, sf_dir), lens.calls(spark, sf_dir), [0, 1, 2])
-
-
 _ALL_GTS = [f"coalesce(max(CASE WHEN sample = {s} THEN gt END), './.') AS g{s}" for s in SAMPLES]
 
 
 @_add(lens.SQL + f", g AS (SELECT v.key, chrom, start, rs, reference, alternate, \"end\", type, {', '.join(_ALL_GTS)} FROM variants v LEFT JOIN calls c USING (key) GROUP BY ALL) SELECT key, concat_ws(chr(9), chrom, start, coalesce(rs, '.'), reference, alternate, '.', 'PASS', 'END=' || \"end\" || ';TYPE=' || type, 'GT', {', '.join(f'g{s}' for s in SAMPLES)}) AS line FROM g")
-def k02_vcf_lines_all(spark, sf_dir):
+def k02_vcf_lines(spark, sf_dir):
     return vcf.lines(lens.variants(spark, sf_dir), lens.calls(spark, sf_dir), SAMPLES)
 
 
@@ -135,16 +116,11 @@ def s01_vcf_records(spark, sf_dir):
 _BASE = "coalesce(max(CASE WHEN sample = {0} THEN CASE string_split_regex(gt, '[/|]')[{1}] WHEN '0' THEN reference WHEN '1' THEN alternate ELSE '0' END END), '0')"
 
 
-@_add(lens.SQL + f"SELECT key, chrom || ' ' || (chrom || ':' || start || ':' || reference || ':' || alternate) || ' 0 ' || start || ' ' || {_BASE.format(0, 1)} || ' ' || {_BASE.format(0, 2)} || ' ' || {_BASE.format(1, 1)} || ' ' || {_BASE.format(1, 2)} AS line FROM variants v LEFT JOIN calls USING (key) GROUP BY key, chrom, start, reference, alternate")
-def k03_tped(spark, sf_dir):
-    return vcf.tped(lens.variants(spark, sf_dir), lens.calls(spark, sf_dir), [0, 1])
-
-
 _ALL_BASES = " || ' ' || ".join(_BASE.format(s, i) for s in SAMPLES for i in (1, 2))
 
 
 @_add(lens.SQL + f"SELECT key, chrom || ' ' || (chrom || ':' || start || ':' || reference || ':' || alternate) || ' 0 ' || start || ' ' || {_ALL_BASES} AS line FROM variants v LEFT JOIN calls USING (key) GROUP BY key, chrom, start, reference, alternate")
-def k03_tped_all(spark, sf_dir):
+def k03_tped(spark, sf_dir):
     return vcf.tped(lens.variants(spark, sf_dir), lens.calls(spark, sf_dir), SAMPLES)
 
 

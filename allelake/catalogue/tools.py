@@ -31,9 +31,13 @@ def gwas_fisher(spark, sf_dir):
     return stats.fisher(table).select("key", "case_ref", "control_ref", "case_alt", "control_alt", F.round("p_value", 6).alias("p_value"), F.round("odds_ratio", 6).alias("odds_ratio"))
 
 
-@_add(lens.SQL + ", h AS (SELECT DISTINCT key, gene FROM cts WHERE term IN ('stop_gained', 'frameshift_variant', 'splice_donor_variant')), k AS (SELECT sample, gene, count(*) FILTER (WHERE gt = '1/1') AS hom_alt, count(*) FILTER (WHERE gt = '1|2') AS het_alt, count(*) FILTER (WHERE gt = '0/1') AS het FROM calls JOIN h USING (key) GROUP BY 1, 2) SELECT sample, gene, hom_alt, het_alt, het * (het - 1) // 2 AS comp_het FROM k WHERE hom_alt + het_alt + het * (het - 1) // 2 > 0")
+_TRIO = ", r AS (SELECT trio, unnest(['child', 'father', 'mother']) AS role, unnest([child, father, mother]) AS sample FROM trios), t AS (SELECT key, trio, coalesce(max(CASE WHEN role = 'child' THEN gt END), '0/0') AS child, coalesce(max(CASE WHEN role = 'father' THEN gt END), '0/0') AS father, coalesce(max(CASE WHEN role = 'mother' THEN gt END), '0/0') AS mother FROM calls JOIN r USING (sample) GROUP BY 1, 2)"
+_HAS = "list_contains(string_split_regex({0}, '[/|]'), '1')"
+
+
+@_add(lens.SQL + _TRIO + ", h AS (SELECT DISTINCT key, gene FROM cts WHERE term IN ('stop_gained', 'frameshift_variant', 'splice_donor_variant')), k AS (SELECT sample, gene, count(*) FILTER (WHERE gt = '1/1') AS hom_alt, count(*) FILTER (WHERE gt = '1|2') AS het_alt FROM calls JOIN h USING (key) GROUP BY 1, 2), p AS (SELECT trios.child AS sample, gene, count(*) FILTER (WHERE " + _HAS.format("t.father") + ") * count(*) FILTER (WHERE NOT " + _HAS.format("t.father") + ") AS n FROM t JOIN h USING (key) JOIN trios USING (trio) WHERE t.child = '0/1' AND (" + _HAS.format("t.father") + ") <> (" + _HAS.format("t.mother") + ") GROUP BY 1, 2) SELECT k.sample, k.gene, hom_alt, het_alt, coalesce(n, 0) AS comp_het FROM k LEFT JOIN p ON p.sample = k.sample AND p.gene = k.gene WHERE hom_alt + het_alt + coalesce(n, 0) > 0")
 def knockout_by_sample(spark, sf_dir):
-    return families.knockouts(lens.calls(spark, sf_dir), lens.consequences(spark, sf_dir), V.LOF)
+    return families.knockouts(lens.calls(spark, sf_dir), lens.consequences(spark, sf_dir), V.LOF, lens.trios(spark))
 
 
 @_add(lens.SQL + ", h AS (SELECT DISTINCT key, gene FROM cts WHERE term IN ('stop_gained', 'frameshift_variant', 'splice_donor_variant')) SELECT gene, count(DISTINCT sample) AS n_samples, count(*) AS n_variants FROM calls JOIN h USING (key) WHERE gt = '1/1' GROUP BY 1")
@@ -57,13 +61,8 @@ def e19_sex(spark, sf_dir):
     return families.inferred_sex(rows).select("user_id", "sex")
 
 
-@_add(lens.SQL + "SELECT key, CASE WHEN gene IN ('G1', 'G2', 'G3', 'G4', 'G5') AND term IN ('stop_gained', 'frameshift_variant', 'splice_donor_variant') THEN 'TIER1' WHEN gene IN ('G1', 'G2', 'G3', 'G4', 'G5') AND term = 'missense_variant' THEN 'TIER2' WHEN term IN ('stop_gained', 'frameshift_variant', 'splice_donor_variant') THEN 'TIER3' ELSE 'UNTIERED' END AS tier, count(*) AS n FROM cts WHERE key % 3 = 0 GROUP BY 1, 2")
-def tiering(spark, sf_dir):
-    return _tiers(lens.consequences(spark, sf_dir).filter("key % 3 = 0"))
-
-
 @_add(lens.SQL + "SELECT key, CASE WHEN gene IN ('G1', 'G2', 'G3', 'G4', 'G5') AND term IN ('stop_gained', 'frameshift_variant', 'splice_donor_variant') THEN 'TIER1' WHEN gene IN ('G1', 'G2', 'G3', 'G4', 'G5') AND term = 'missense_variant' THEN 'TIER2' WHEN term IN ('stop_gained', 'frameshift_variant', 'splice_donor_variant') THEN 'TIER3' ELSE 'UNTIERED' END AS tier, count(*) AS n FROM cts GROUP BY 1, 2")
-def tiering_all(spark, sf_dir):
+def tiering(spark, sf_dir):
     """The tiers of every variant."""
     return _tiers(lens.consequences(spark, sf_dir))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,10 +11,54 @@ from pyspark.sql import functions as F
 #: Which types a type takes in.
 SUBTYPES = {"SNV": ("SNV", "SNP"), "INDEL": ("INDEL", "INSERTION", "DELETION"), "MNV": ("MNV", "MNP"), "CNV": ("CNV", "COPY_NUMBER_GAIN", "COPY_NUMBER_LOSS"), "SV": ("SV", "BREAKEND", "INVERSION", "TRANSLOCATION", "DUPLICATION")}
 #: Consequence terms of loss of function, and those that alter a protein besides.
-LOF = ("frameshift_variant", "incomplete_terminal_codon_variant", "start_lost", "stop_gained", "stop_lost", "splice_acceptor_variant", "splice_donor_variant", "transcript_ablation", "transcript_amplification", "feature_truncation", "initiator_codon_variant")
+LOF = ("frameshift_variant", "incomplete_terminal_codon_variant", "start_lost", "stop_gained", "stop_lost", "splice_acceptor_variant", "splice_donor_variant", "transcript_ablation", "feature_truncation")
 PROTEIN_ALTERING = (*LOF, "inframe_deletion", "inframe_insertion", "missense_variant")
-#: Accessions of frequent consequence terms.
-ACCESSIONS = {"missense_variant": "SO:0001583", "stop_gained": "SO:0001587", "synonymous_variant": "SO:0001819", "intron_variant": "SO:0001627", "frameshift_variant": "SO:0001589", "splice_donor_variant": "SO:0001575"}
+#: Accessions of the consequence terms.
+ACCESSIONS = {
+    "transcript_ablation": "SO:0001893",
+    "splice_acceptor_variant": "SO:0001574",
+    "splice_donor_variant": "SO:0001575",
+    "stop_gained": "SO:0001587",
+    "frameshift_variant": "SO:0001589",
+    "stop_lost": "SO:0001578",
+    "start_lost": "SO:0002012",
+    "initiator_codon_variant": "SO:0001582",
+    "transcript_amplification": "SO:0001889",
+    "feature_elongation": "SO:0001907",
+    "feature_truncation": "SO:0001906",
+    "inframe_insertion": "SO:0001821",
+    "inframe_deletion": "SO:0001822",
+    "inframe_variant": "SO:0001650",
+    "missense_variant": "SO:0001583",
+    "protein_altering_variant": "SO:0001818",
+    "splice_region_variant": "SO:0001630",
+    "incomplete_terminal_codon_variant": "SO:0001626",
+    "terminator_codon_variant": "SO:0001590",
+    "start_retained_variant": "SO:0002019",
+    "stop_retained_variant": "SO:0001567",
+    "synonymous_variant": "SO:0001819",
+    "coding_sequence_variant": "SO:0001580",
+    "mature_miRNA_variant": "SO:0001620",
+    "5_prime_UTR_variant": "SO:0001623",
+    "3_prime_UTR_variant": "SO:0001624",
+    "exon_variant": "SO:0001791",
+    "non_coding_transcript_exon_variant": "SO:0001792",
+    "intron_variant": "SO:0001627",
+    "NMD_transcript_variant": "SO:0001621",
+    "non_coding_transcript_variant": "SO:0001619",
+    "upstream_gene_variant": "SO:0001631",
+    "downstream_gene_variant": "SO:0001632",
+    "TFBS_ablation": "SO:0001895",
+    "TFBS_amplification": "SO:0001892",
+    "TF_binding_site_variant": "SO:0001782",
+    "regulatory_region_ablation": "SO:0001894",
+    "regulatory_region_amplification": "SO:0001891",
+    "regulatory_region_variant": "SO:0001566",
+    "intergenic_variant": "SO:0001628",
+}
+#: Names of genotype classes.
+CLASSES = ("HOM_REF", "HOM_ALT", "HET", "HET_REF", "HET_ALT", "HET_MISS", "MISS", "SEC", "SEC_ALT", "MAIN_ALT", "NA")
+SEPARATOR, PIECES = re.compile(r"[/|]"), re.compile(r"\d+|[/|.]")
 
 
 def any_of(columns: list[Column]) -> Column:
@@ -62,6 +107,16 @@ def genotype_class(gt: Column) -> Column:
     )
 
 
+def is_class(gt: Column, name: str) -> Column:
+    """Whether a genotype is of a class; HET, SEC, SEC_ALT and MAIN_ALT take in several."""
+    if name == "MAIN_ALT":
+        return carries(gt)
+    if name in ("SEC", "SEC_ALT"):  # an alternate beyond the first; SEC_ALT: no reference allele beside it
+        second = F.exists(alleles(gt), lambda a: ~a.isin("0", "1", "."))
+        return second & ~F.array_contains(alleles(gt), "1") & (~F.array_contains(alleles(gt), "0") if name == "SEC_ALT" else F.lit(True))
+    return genotype_class(gt).isin(*{"HET": ("HET_REF", "HET_ALT", "HET_MISS")}.get(name, (name,)))
+
+
 def carries(gt: Column, allele: str = "1") -> Column:
     """Whether the main alternate is among the alleles."""
     return F.coalesce(F.array_contains(alleles(gt), allele), F.lit(False))
@@ -129,11 +184,19 @@ def compare(value: Column, op: str, bound) -> Column:
     return F.coalesce(plain, F.lit(op == "!=" or op[:2] in ("<<", ">>")))
 
 
-def row_compare(value: Column, op: str, bound: str) -> Column:
-    """Comparisons over the fields of calls and files: false for missing values; numbers where the bound is one, else text."""
+def is_number(text: str) -> bool:
     try:
-        b, v = F.lit(float(bound)), value.cast("double")
+        float(text)
     except ValueError:
+        return False
+    return True
+
+
+def row_compare(value: Column, op: str, bound: str) -> Column:
+    """Comparisons over the fields of calls and files: false for missing values; numbers where the bound is one, else text."""
+    if is_number(bound):
+        b, v = F.lit(float(bound)), value.try_cast("double")
+    else:
         b, v = F.lit(bound), value.cast("string")
-    plain = {"=": v == b, "==": v == b, "!=": v != b, "<": v < b, "<=": v <= b, ">": v > b, ">=": v >= b, "<<": v < b, "<<=": v <= b, ">>": v > b, ">>=": v >= b, "~": v.cast("string").rlike(bound), "=~": v.cast("string").rlike(bound)}[op]
+    plain = {"=": v == b, "==": v == b, "!=": v != b, "<": v < b, "<=": v <= b, ">": v > b, ">=": v >= b, "<<": v < b, "<<=": v <= b, ">>": v > b, ">>=": v >= b, "~": v.cast("string").rlike(bound), "=~": v.cast("string").rlike(bound), "!~": ~v.cast("string").rlike(bound)}[op]
     return F.coalesce(plain, F.lit(False))

@@ -1,15 +1,19 @@
 """A genomic reading of the driver's order tables, so that every operator has variants, calls and annotation to work on.
 
-orders are variants, lineitem holds calls and consequences, events hold depths; the README tells the columns. All
+orders are variants, lineitem holds calls and consequences, events hold depths; the docstrings tell what a row is. All
 columns come from integer arithmetic, and nulls are put in on purpose.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .operators import stats as cohorts
+
 TYPE = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'SNV' WHEN '2' THEN 'INDEL' WHEN '3' THEN 'INSERTION' WHEN '4' THEN 'DELETION' ELSE 'MNV' END"
 TERM = "CASE l_partkey % 6 WHEN 0 THEN 'missense_variant' WHEN 1 THEN 'stop_gained' WHEN 2 THEN 'synonymous_variant' WHEN 3 THEN 'intron_variant' WHEN 4 THEN 'frameshift_variant' ELSE 'splice_donor_variant' END"
 BIOTYPE = "CASE l_linenumber % 3 WHEN 0 THEN 'protein_coding' WHEN 1 THEN 'lincRNA' ELSE 'pseudogene' END"
@@ -36,6 +40,14 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey * 29 % 1000 AS DOUBLE) / 1000 END AS phastcons",
         "CASE o_orderkey % 6 WHEN 0 THEN 'asthma' WHEN 1 THEN 'breast cancer' WHEN 2 THEN 'ovarian cancer' END AS trait",
         "CASE WHEN o_orderkey % 4 = 0 THEN concat('rs', o_orderkey) END AS rs",
+        "map('S:ALL', CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey * 13 % 1000 AS DOUBLE) / 1000 END, '1000G:ALL', CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey * 17 % 1000 AS DOUBLE) / 1000 END) AS pops",
+        "map('cadd_scaled', CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey * 37 % 400 AS DOUBLE) / 10 END, 'cadd_raw', CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey * 41 % 100 AS DOUBLE) / 10 END) AS functional",
+        "map('phastCons', CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey * 29 % 1000 AS DOUBLE) / 1000 END, 'phylop', CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderkey * 23 % 1000 AS DOUBLE) / 1000 END, 'gerp', CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderkey * 19 % 120 AS DOUBLE) / 10 END) AS conserved",
+        "map('gwas1', CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderkey * 11 % 1000 AS DOUBLE) / 1000 END) AS scores",
+        "map('depth', CASE WHEN o_orderkey % 4 <> 1 THEN CAST(o_orderkey % 50 AS STRING) END, 'class', concat('K', o_orderkey % 5)) AS custom",
+        "CASE o_orderkey % 8 WHEN 0 THEN array(named_struct('id', 'OMIM:1', 'name', 'Marfan syndrome'), named_struct('id', 'HP:0001', 'name', 'short stature')) WHEN 1 THEN array(named_struct('id', 'HP:0001', 'name', 'short stature')) ELSE CAST(array() AS array<struct<id: string, name: string>>) END AS gene_traits",
+        "CASE o_orderkey % 9 WHEN 0 THEN array('aspirin') WHEN 4 THEN array('aspirin', 'tamoxifen') ELSE CAST(array() AS array<string>) END AS drugs",
+        "CASE o_orderkey % 10 WHEN 0 THEN array('Kinase') WHEN 3 THEN array('Membrane', 'Kinase') ELSE CAST(array() AS array<string>) END AS keywords",
     )
     return rows.withColumn("end", F.col("start") + F.col("key") % 50)
 
@@ -56,6 +68,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_discount <= 0.05 THEN array('PASS') WHEN l_tax > 0.04 THEN array('LowGQX', 'LowQ') ELSE array('LowGQX') END AS filter",
         "concat('file', sample % 5) AS file",
         "l_orderkey * 31 % 17 = sample % 17 AS phased",
+        "concat('NA', 12800 + sample) AS name",
     )
 
 
@@ -69,6 +82,9 @@ def consequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{TERM} AS term",
         "CASE WHEN l_suppkey % 2 = 0 THEN 'canonical' ELSE 'basic' END AS flag",
         "CASE WHEN l_partkey % 9 <> 0 THEN CAST(l_partkey * 7 % 100 AS DOUBLE) / 100 END AS sift",
+        "CASE WHEN l_partkey % 9 <> 0 THEN CASE WHEN l_partkey * 7 % 100 < 5 THEN 'deleterious' ELSE 'tolerated' END END AS sift_text",
+        "CASE WHEN l_partkey % 8 <> 0 THEN CAST(l_partkey * 3 % 100 AS DOUBLE) / 100 END AS polyphen",
+        "CASE WHEN l_partkey % 8 <> 0 THEN CASE WHEN l_partkey * 3 % 100 < 45 THEN 'benign' WHEN l_partkey * 3 % 100 < 91 THEN 'possibly damaging' ELSE 'probably damaging' END END AS polyphen_text",
     )
 
 
@@ -97,6 +113,29 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("chrom", "pos").agg(F.sum("v").cast("long").alias("depth"))
 
 
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a variant and cohort that has calls: frequencies, and members without a call as missing."""
+    out = cohorts.cohort_stats(calls(spark, sf_dir), members(spark))
+    missing = F.col("n_samples") - F.col("n_calls")
+    return out.select("key", "cohort", "ref_freq", "alt_freq", "maf", "mgf", "pass_freq", (2 * missing).alias("missing_alleles"), missing.alias("missing_genotypes"))
+
+
+def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gene sets by kind and term: ontology terms, expression, roles in cancer, panels."""
+    rows = read(spark, sf_dir, "part").selectExpr("concat('G', p_partkey % 300) AS gene", "p_partkey % 300 AS g").distinct()
+    term = {"go": "concat('GO:', g % 7)", "expression": "concat('tissue', g % 5)", "geneRoleInCancer": "CASE WHEN g % 11 = 0 THEN 'TSG' WHEN g % 11 = 1 THEN 'oncogene' END", "panel": "concat('panel', g % 13)"}
+    return rows.select("gene", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.expr(e).alias("term")) for k, e in term.items())))).filter("term IS NOT NULL")
+
+
+#: The parents of samples, and their families: what trios() has, for filters by mode of inheritance.
+PEDIGREES = {str(3 * k): {"father": 3 * k + 1, "mother": 3 * k + 2, "family": f"trio{k}"} for k in range(6)}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> dict:
+    """The tables by variant key that filters look into."""
+    return {name: functools.partial(make, spark, sf_dir) for name, make in (("cts", consequences), ("evidence", clinical), ("calls", calls), ("stats", stats))}
+
+
 PARTS = ("cts", "evidence", "calls")
 
 
@@ -107,9 +146,9 @@ def wide(spark: SparkSession, sf_dir: str, parts: tuple[str, ...] = PARTS) -> Da
     """
     fold = lambda df: df.groupBy("key").agg(F.collect_list(F.struct(*(c for c in df.columns if c != "key"))).alias("rows"))
     rows = variants(spark, sf_dir)
-    for name, make in (("cts", consequences), ("evidence", clinical), ("calls", calls)):
+    for name, make in tables(spark, sf_dir).items():
         if name in parts:
-            rows = rows.join(fold(make(spark, sf_dir)).withColumnRenamed("rows", name), "key", "left").withColumn(name, F.coalesce(name, F.array()))
+            rows = rows.join(fold(make()).withColumnRenamed("rows", name), "key", "left").withColumn(name, F.coalesce(name, F.array()))
     return rows
 
 
@@ -123,14 +162,17 @@ WITH variants AS (
     CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey * 13 % 1000 AS DOUBLE) / 1000 END AS freq,
     CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey * 29 % 1000 AS DOUBLE) / 1000 END AS phastcons,
     CASE o_orderkey % 6 WHEN 0 THEN 'asthma' WHEN 1 THEN 'breast cancer' WHEN 2 THEN 'ovarian cancer' END AS trait,
-    CASE WHEN o_orderkey % 4 = 0 THEN 'rs' || o_orderkey END AS rs FROM orders)),
+    CASE WHEN o_orderkey % 4 = 0 THEN 'rs' || o_orderkey END AS rs, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey * 17 % 1000 AS DOUBLE) / 1000 END AS freq2,
+    CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey * 41 % 100 AS DOUBLE) / 10 END AS cadd_raw, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderkey * 23 % 1000 AS DOUBLE) / 1000 END AS phylop,
+    CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderkey * 19 % 120 AS DOUBLE) / 10 END AS gerp, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderkey * 11 % 1000 AS DOUBLE) / 1000 END AS gwas1 FROM orders)),
 calls AS (
   SELECT l_orderkey AS key, sample, {GENOTYPE} AS gt, CAST(l_quantity AS INT) AS dp, CASE WHEN l_partkey % 9 <> 0 THEN CAST(l_quantity * 2 AS INT) END AS gq, l_extendedprice / 1000 AS qual,
-    CASE WHEN l_discount <= 0.05 THEN ['PASS'] WHEN l_tax > 0.04 THEN ['LowGQX', 'LowQ'] ELSE ['LowGQX'] END AS filter, 'file' || (sample % 5) AS file, l_orderkey * 31 % 17 = sample % 17 AS phased
+    CASE WHEN l_discount <= 0.05 THEN ['PASS'] WHEN l_tax > 0.04 THEN ['LowGQX', 'LowQ'] ELSE ['LowGQX'] END AS filter, 'file' || (sample % 5) AS file, l_orderkey * 31 % 17 = sample % 17 AS phased, 'NA' || (12800 + sample) AS name
   FROM (SELECT *, l_suppkey % 20 AS sample, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 20 ORDER BY CASE WHEN l_discount <= 0.05 THEN 0 ELSE 1 END, l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem) WHERE rn = 1),
 cts AS (
   SELECT l_orderkey AS key, 'G' || (l_partkey % 300) AS gene, 'T' || l_partkey || '.' || l_linenumber AS transcript, {BIOTYPE} AS biotype, {TERM} AS term,
-    CASE WHEN l_suppkey % 2 = 0 THEN 'canonical' ELSE 'basic' END AS flag, CASE WHEN l_partkey % 9 <> 0 THEN CAST(l_partkey * 7 % 100 AS DOUBLE) / 100 END AS sift FROM lineitem),
+    CASE WHEN l_suppkey % 2 = 0 THEN 'canonical' ELSE 'basic' END AS flag, CASE WHEN l_partkey % 9 <> 0 THEN CAST(l_partkey * 7 % 100 AS DOUBLE) / 100 END AS sift,
+    CASE WHEN l_partkey % 8 <> 0 THEN CAST(l_partkey * 3 % 100 AS DOUBLE) / 100 END AS polyphen FROM lineitem),
 evidence AS (
   SELECT o_orderkey AS key, 'clinvar' AS source, CASE o_orderkey % 3 WHEN 0 THEN 'pathogenic' WHEN 1 THEN 'benign' ELSE 'likely_pathogenic' END AS significance, CASE WHEN o_orderkey % 8 = 0 THEN 'confirmed' ELSE 'not_confirmed' END AS status FROM orders WHERE o_orderkey % 4 = 0
   UNION ALL SELECT o_orderkey, 'cosmic', 'pathogenic', 'not_confirmed' FROM orders WHERE o_orderkey % 10 = 0),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import inheritance as I
 from ..functions import variant as V
 
 
@@ -16,37 +17,17 @@ def trio_genotypes(calls: DataFrame, trios: DataFrame, missing: str = "0/0") ->
     return named.groupBy("key", "trio").agg(pick("child"), pick("father"), pick("mother"))
 
 
-def _from(parent: Column, allele: Column) -> Column:
-    return F.array_contains(V.alleles(parent), allele)
+def mendelian_errors(trios: DataFrame, chrom: Column | None = None) -> DataFrame:
+    """Trios with an error, its code, whether it is de novo, and strictly so (both parents without the allele)."""
+    rows = trios.withColumn("code", I.mendelian_error(F.col("child"), F.col("father"), F.col("mother"), chrom)).filter("code > 0")
+    return rows.withColumn("de_novo", F.col("code").isin(*I.DE_NOVO)).withColumn("strict", F.col("code").isin(*I.DE_NOVO_STRICT))
 
 
-def mendelian_error(child: Column, father: Column, mother: Column) -> Column:
-    """0 for consistent autosomal genotypes; else which parent cannot have given an allele: 1 father, 2 mother, 3 either, 4 both alleles new."""
-    c = V.alleles(child)
-    x, y = c[0], c[1]
-    ok = (_from(father, x) & _from(mother, y)) | (_from(father, y) & _from(mother, x))
-    some_father, some_mother = _from(father, x) | _from(father, y), _from(mother, x) | _from(mother, y)
-    return F.when(ok, 0).when(~some_father & ~some_mother, 4).when(~some_father, 1).when(~some_mother, 2).otherwise(3)
-
-
-def mendelian_errors(trios: DataFrame) -> DataFrame:
-    """Trios with an error, whether it is de novo (a child that is not HOM_REF), strictly so with both parents HOM_REF."""
-    rows = trios.withColumn("code", mendelian_error(F.col("child"), F.col("father"), F.col("mother"))).filter("code > 0")
-    is_ref = lambda c: V.genotype_class(F.col(c)) == "HOM_REF"
-    return rows.withColumn("de_novo", ~is_ref("child")).withColumn("strict", F.col("de_novo") & is_ref("father") & is_ref("mother"))
-
-
-#: Genotype classes of child, father and mother under a mode of inheritance (unaffected parents).
-MODES = {
-    "autosomalRecessive": ({"HOM_ALT"}, {"HET_REF"}, {"HET_REF"}),
-    "autosomalDominant": ({"HET_REF", "HOM_ALT"}, {"HOM_REF"}, {"HET_REF", "HOM_ALT"}),
-    "deNovo": ({"HET_REF", "HOM_ALT", "HET_ALT"}, {"HOM_REF"}, {"HOM_REF"}),
-}
-
-
-def by_mode(trios: DataFrame, mode: str) -> DataFrame:
-    allowed = zip(("child", "father", "mother"), MODES[mode])
-    return trios.filter(V.all_of([V.genotype_class(F.col(c)).isin(*sorted(a)) for c, a in allowed]))
+def by_modes(trios: DataFrame, modes: tuple[str, ...], chrom: str = "chrom") -> DataFrame:
+    """One row a trio and mode that it fits, in one pass over the trios."""
+    people = F.col(chrom), F.col("child"), F.col("father"), F.col("mother")
+    fitting = F.array_compact(F.array(*(F.when(I.fits(m, *people), F.lit(m)) for m in modes)))
+    return trios.withColumn("mode", F.explode(fitting))
 
 
 def compound_heterozygotes(trios: DataFrame, transcripts: DataFrame, by: str = "gene") -> DataFrame:
@@ -58,13 +39,28 @@ def compound_heterozygotes(trios: DataFrame, transcripts: DataFrame, by: str = "
     return out.filter("n_father > 0 AND n_mother > 0").withColumn("n_pairs", F.col("n_father") * F.col("n_mother"))
 
 
-def knockouts(calls: DataFrame, consequences: DataFrame, terms: tuple[str, ...]) -> DataFrame:
-    """By sample and gene: kinds of knockout by variants of the given terms: HOM_ALT, HET_ALT, and COMP_HET from two heterozygous ones."""
+def compound_heterozygous_variants(trios: DataFrame, transcripts: DataFrame, by: str = "transcript") -> DataFrame:
+    """Variants of a child that pair with one of the other parent in the same transcript or gene: key, trio, that, and the origin.
+
+    One row a variant, not a pair: every father's variant of a group pairs with every mother's.
+    """
+    het = trios.filter((V.genotype_class(F.col("child")) == "HET_REF") & (V.carries(F.col("father")) != V.carries(F.col("mother"))))
+    rows = het.select("trio", "key", F.when(V.carries(F.col("father")), "father").otherwise("mother").alias("origin")).join(transcripts.select("key", by).distinct(), "key")
+    both = rows.groupBy("trio", by).agg(F.countDistinct("origin").alias("origins")).filter("origins = 2").select("trio", by)
+    return rows.join(both, ["trio", by]).select("key", "trio", by, "origin")
+
+
+def knockouts(calls: DataFrame, consequences: DataFrame, terms: tuple[str, ...], trios: DataFrame) -> DataFrame:
+    """By sample and gene: kinds of knockout by variants of the given terms: HOM_ALT, HET_ALT, and COMP_HET, pairs of heterozygous ones.
+
+    A pair counts if one of it comes from the father alone and one from the mother alone, so samples without parents have none.
+    """
     hit = consequences.filter(F.col("term").isin(*terms)).select("key", "gene").distinct()
     rows = calls.join(hit, "key").withColumn("c", V.genotype_class(F.col("gt")))
     n = lambda k: F.count(F.when(F.col("c") == k, 1))
-    out = rows.groupBy("sample", "gene").agg(n("HOM_ALT").alias("hom_alt"), n("HET_ALT").alias("het_alt"), n("HET_REF").alias("het"))
-    return out.withColumn("comp_het", F.expr("het * (het - 1) div 2")).filter("hom_alt + het_alt + comp_het > 0").drop("het")
+    counts = rows.groupBy("sample", "gene").agg(n("HOM_ALT").alias("hom_alt"), n("HET_ALT").alias("het_alt"))
+    pairs = compound_heterozygotes(trio_genotypes(calls, trios), hit).join(F.broadcast(trios.select("trio", F.col("child").alias("sample"))), "trio").select("sample", "gene", F.col("n_pairs").alias("comp_het"))
+    return counts.join(pairs, ["sample", "gene"], "left").withColumn("comp_het", F.coalesce("comp_het", F.lit(0).cast("long"))).filter("hom_alt + het_alt + comp_het > 0")
 
 
 def inferred_sex(ratios: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from dataclasses import dataclass, field
 
 AND, OR = ";", ","
 OPERATORS = ("<<=", ">>=", "<<", ">>", "<=", ">=", "!=", "!~", "==", "=~", "=", "<", ">", "~")
-_COMPARISON = re.compile(r"^([^=<>~!]*?)\s*(" + "|".join(map(re.escape, OPERATORS)) + r")\s*([^=<>~!].*)$")
 
 
 class LanguageError(ValueError):
@@ -70,9 +69,24 @@ def same_sign(values: tuple[str, ...]) -> bool:
     return signs == {True}
 
 
+def operator_at(text: str) -> tuple[int, str] | None:
+    """Where the first operator stands, and which: the longest that starts there."""
+    for i, c in enumerate(text):
+        if c in "=<>~!":
+            found = max((o for o in OPERATORS if text.startswith(o, i)), key=len, default=None)
+            return (i, found) if found else None
+    return None
+
+
 def comparison(text: str) -> Comparison:
-    m = _COMPARISON.match(text)
-    return Comparison(m[1].strip(), m[2], m[3].strip()) if m else Comparison("", "=", text.strip())
+    found = operator_at(text)
+    if not found or not text[found[0] + len(found[1]) :].strip():
+        return Comparison("", "=", text.strip())
+    at, op = found
+    value = text[at + len(op) :].strip()
+    if value[0] in "=<>~!":
+        raise LanguageError(f"no operator: {text!r}")
+    return Comparison(text[:at].strip(), op, value)
 
 
 def comparisons(text: str) -> tuple[list[Comparison], str | None]:
@@ -81,7 +95,7 @@ def comparisons(text: str) -> tuple[list[Comparison], str | None]:
     out: list[Comparison] = []
     for v in found.values:
         c = comparison(v)
-        if out and not _COMPARISON.match(v):
+        if out and not operator_at(v):
             c = Comparison(out[-1].key, out[-1].op, v)
         elif out and not c.key:
             c = Comparison(out[-1].key, c.op, c.value)
@@ -89,6 +103,38 @@ def comparisons(text: str) -> tuple[list[Comparison], str | None]:
     return out, found.joined_by
 
 
+def grouped(text: str) -> tuple[list[tuple[str, list[Comparison]]], str | None, str | None]:
+    """'12:dp>20,gq>=10;13:dp>5' as names with their comparisons, the operator between names and the one within a name.
+
+    What follows a name up to the next one belongs to it; a name that comes again goes on with its comparisons.
+    """
+    pieces, at, quoted = [("", "")], 0, False
+    for i, c in enumerate(text + AND):
+        quoted ^= c == '"'
+        if c in (AND, OR) and not quoted:
+            pieces[-1] = (pieces[-1][0], text[at:i].replace('"', "").strip())
+            pieces.append((c, ""))
+            at = i + 1
+    groups: dict[str, list[Comparison]] = {}
+    name, between, within = None, set(), set()
+    for sign, piece in pieces[:-1]:
+        if not piece:
+            continue
+        found = operator_at(piece)
+        head, colon, tail = (piece[: found[0]] if found else piece).partition(":")
+        if colon:
+            between |= {sign} if name is not None else set()
+            name, piece = head.strip(), piece[len(head) + 1 :]
+        elif name is None:
+            raise LanguageError(f"no name in {text!r}")
+        else:
+            within.add(sign)
+        groups.setdefault(name, []).append(comparison(piece))
+    if len(between) > 1 or len(within) > 1:
+        raise LanguageError(f"{AND!r} and {OR!r} are mixed in {text!r}")
+    return list(groups.items()), next(iter(between), None), next(iter(within), next(iter(between), None))
+
+
 def scoped(text: str, default: str | None = None) -> tuple[str | None, str]:
     """A value with its scope: 'study:cohort' is cut at the last colon."""
     head, colon, tail = text.rpartition(":")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from allelake.functions import variant as V
+from allelake.functions import inheritance
 from allelake.operators import families, overlap, records, samples, stats
 from allelake.plans import facets, filters
 from allelake.plans import language as L
@@ -75,12 +76,36 @@ def test_merged_and_nearby(spark, width):
 
 
 def test_mendelian_codes(spark):
-    cases = [("0/1", "0/0", "0/1", 0), ("1/1", "0/0", "0/1", 1), ("1/1", "0/1", "0/0", 2), ("0/1", "0/0", "0/0", 3), ("2/3", "0/1", "0/1", 4), ("0/0", "1/1", "0/0", 1), ("0/0", "1/1", "1/1", 4)]
-    rows = spark.createDataFrame(cases, "c string, f string, m string, want int")
-    got = rows.select("*", families.mendelian_error(F.col("c"), F.col("f"), F.col("m")).alias("code")).collect()
-    for r in got:
-        assert (r.code > 0) == (r.want > 0), r
-    assert [r.code for r in got if r.want in (1, 2, 4)] == [r.want for r in got if r.want in (1, 2, 4)]
+    """The published table, and absent parents, several alternates, missing genotypes and haploid calls."""
+    cases = [  # chromosome, father, mother, child, code
+        ("1", "1/1", "1/1", "0/1", 1), ("1", "0/0", "0/0", "0/1", 2), ("1", "0/0", "0/1", "1/1", 3), ("1", "1|0", "0|0", "1|1", 4),
+        ("1", "0/0", "0/0", "1/1", 5), ("1", "1/1", "0/1", "0/0", 6), ("1", "0/0", "1/1", "0/0", 7), ("1", "1/1", "1/1", "0/0", 8),
+        ("X", "1", "1/1", "0", 9), ("MT", "0/0", "1/1", "0/0", 9), ("X", "1", "0/0", "1", 10), ("MT", "1", "0", "1", 10),
+        ("Y", "1", None, "0", 11), ("Y", "0", None, "1", 12), ("Y", "1", "0/0", "1", 0), ("X", "0", "0/1", "1", 0),
+        ("1", "0/0", "0/1", "0/1", 0), ("1", None, "0/0", "1/1", 4), ("1", "0/0", None, "1/1", 3), ("1", None, "0/1", "1/1", 0), ("1", None, "1/1", "0/0", 7), ("1", None, "0/0", "0/1", 0),
+        ("1", "0/0", "1/1", "2/3", 2), ("1", "0/1", "1/0", "2/2", 5), ("1", "0/1", "0/2", "1/2", 0), ("1", "1/1", "1/2", "0/2", 1),
+        ("1", "0/1", "0/1", "./.", None), ("1", "./.", "0/0", "1/1", None), ("1", "0/0", "0/0", None, None), ("X", "0", "0/0", "0", 0),
+    ]
+    rows = spark.createDataFrame(cases, "chrom string, f string, m string, c string, want int")
+    for r in rows.select("*", inheritance.mendelian_error(F.col("c"), F.col("f"), F.col("m"), F.col("chrom")).alias("code")).collect():
+        assert r.code == r.want, r
+
+
+def test_modes_of_inheritance(spark):
+    cases = [("X", "1", "0", "0/1", "xLinkedRecessive"), ("X", "0/1", "1", "0/0", "xLinkedDominant"), ("Y", "1", "1", None, "yLinked"), ("MT", "1/1", "0/0", "1/1", "mitochondrial"), ("2", "1/1", "0/1", "0/1", "autosomalRecessive"), ("2", "0/1", "0/0", "0/1", "autosomalDominant")]
+    rows = spark.createDataFrame([(str(i), *c) for i, c in enumerate(cases)], "trio string, chrom string, child string, father string, mother string, want string")
+    got = {(r.trio, r.mode) for r in families.by_modes(rows, tuple(m for m in inheritance.MODES if m not in ("deNovo", "deNovoStrict", "mendelianError"))).collect()}
+    assert got == {*((str(i), c[-1]) for i, c in enumerate(cases)), ("0", "xLinkedDominant")}  # a carrier's son fits both
+    assert inheritance.mode_name("X_LINKED_RECESSIVE") == "xLinkedRecessive" and inheritance.mode_name("DE_NOVO") == "deNovo"
+
+
+def test_knockouts_need_both_parents_alleles(spark):
+    """Two heterozygous variants from one parent are no pair."""
+    calls = spark.createDataFrame([(1, 0, "0/1"), (1, 1, "0/1"), (2, 0, "0/1"), (2, 1, "0/1"), (3, 0, "0/1"), (3, 2, "0/1"), (4, 9, "0/1"), (5, 9, "0/1"), (6, 9, "1/1")], "key long, sample long, gt string")
+    cts = spark.createDataFrame([(k, g, "stop_gained") for k, g in ((1, "A"), (2, "A"), (3, "A"), (1, "B"), (2, "B"), (4, "A"), (5, "A"), (6, "A"))], "key long, gene string, term string")
+    trios = spark.createDataFrame([("t", 0, 1, 2)], "trio string, child long, father long, mother long")
+    got = {tuple(r) for r in families.knockouts(calls, cts, ("stop_gained",), trios).select("sample", "gene", "hom_alt", "het_alt", "comp_het").collect()}
+    assert got == {(0, "A", 0, 0, 2), (9, "A", 1, 0, 0)}
 
 
 def test_fisher(spark):
