@@ -21,12 +21,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the corpus policy keeps (operator 4), however long.
+    """Documents that the default policy keeps (operator 4), however long.
 
     A filter would be pushed below the measurements and have each of them computed again in every rule; a row of no or one
     document is made from the verdict instead.
     """
-    return rules.judge(docs, rules.CORPUS, row=True).select(F.inline(F.when(F.col("kept"), F.array("row"))))
+    return rules.judge(docs, rules.DEFAULT, row=True).select(F.inline(F.when(F.col("kept"), F.array("row"))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
