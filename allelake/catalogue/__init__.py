@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates, filters, joins, more, records, tools
+from . import aggregates, extended, filters, joins, more, records, tools
 
 FLAGSHIP = "a02_nested_facet"
-MODULES = (filters, joins, aggregates, records, tools, more)
+MODULES = (filters, joins, aggregates, records, tools, more, extended)
 
 
 def queries():

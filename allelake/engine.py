@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import concurrent.futures
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -42,6 +43,12 @@ class Engine:
         n, kept = taken.agg(F.count(F.lit(1)), F.count(F.when(filters.condition(rest), 1))).first()
         return (round(total * kept / n) if n else 0), n
 
+    def page_and_count(self, params: dict, limit: int = DEFAULT_LIMIT, skip: int = 0) -> tuple[list, int]:
+        """A page and the count of all rows, by two jobs side by side."""
+        with concurrent.futures.ThreadPoolExecutor(2) as pool:
+            total = pool.submit(self.count, params)
+            return self.query(params, limit=limit, skip=skip).collect(), total.result()
+
     def facet(self, params: dict, text: str) -> dict[str, DataFrame]:
         needed = {*filters.parts(params), *(p for levels in L.facets(text) for p in facets.parts(levels))}
         return facets.facets(filters.query(self.rows(tuple(needed)), params), text)

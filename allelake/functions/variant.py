@@ -112,7 +112,7 @@ def is_class(gt: Column, name: str) -> Column:
     if name == "MAIN_ALT":
         return carries(gt)
     if name in ("SEC", "SEC_ALT"):  # an alternate beyond the first; SEC_ALT: no reference allele beside it
-        second = F.exists(alleles(gt), lambda a: ~a.isin("0", "1", "."))
+        second = F.exists(alleles(gt), lambda a: a.rlike(r"^\d+$") & ~a.isin("0", "1"))
         return second & ~F.array_contains(alleles(gt), "1") & (~F.array_contains(alleles(gt), "0") if name == "SEC_ALT" else F.lit(True))
     return genotype_class(gt).isin(*{"HET": ("HET_REF", "HET_ALT", "HET_MISS")}.get(name, (name,)))
 
@@ -200,3 +200,56 @@ def row_compare(value: Column, op: str, bound: str) -> Column:
         b, v = F.lit(bound), value.cast("string")
     plain = {"=": v == b, "==": v == b, "!=": v != b, "<": v < b, "<=": v <= b, ">": v > b, ">=": v >= b, "<<": v < b, "<<=": v <= b, ">>": v > b, ">>=": v >= b, "~": v.cast("string").rlike(bound), "=~": v.cast("string").rlike(bound), "!~": ~v.cast("string").rlike(bound)}[op]
     return F.coalesce(plain, F.lit(False))
+
+
+#: Codes of genotypes; those from 9 on do not tell the genotype.
+GENOTYPE_CODES = {"0/0": 0, "0/1": 1, "1/1": 2, "0|0": 3, "0|1": 4, "1|0": 5, "1|1": 6, "0": 7, "1": 8}
+MULTI_HOM, MULTI_HET, MISSING_HOM, MISSING_HET, UNKNOWN, DISCREPANCY_SIMPLE, DISCREPANCY_ANY = range(9, 16)
+
+
+def genotype_code(gt: Column) -> Column:
+    """The code of a genotype, of four bits."""
+    out = F.when(gt.isNull() | gt.isin("", "?/?"), UNKNOWN)
+    for name, code in GENOTYPE_CODES.items():
+        out = out.when(gt == name, code)
+    a = alleles(gt)
+    same = F.size(F.array_distinct(a)) == 1
+    return out.when(F.array_contains(a, "."), F.when(same, MISSING_HOM).otherwise(MISSING_HET)).when(gt == "1/0", 1).otherwise(F.when(same, MULTI_HOM).otherwise(MULTI_HET))
+
+
+def genotypes_code(gts: Column) -> Column:
+    """The code of the genotypes that several files give one sample: that of the only one, or what kind of discrepancy they are."""
+    codes = F.transform(F.array_distinct(gts), genotype_code)
+    plain = F.forall(codes, lambda c: (c < MULTI_HOM) & ~c.isin(0, 3))
+    return F.when(F.size(codes) == 1, F.get(codes, 0)).otherwise(F.when(plain, DISCREPANCY_SIMPLE).otherwise(DISCREPANCY_ANY))
+
+
+def parents_code(father: Column, mother: Column) -> Column:
+    """Both parents' codes as one byte."""
+    return F.shiftleft(father.cast("int"), 4).bitwiseOR(mother.cast("int"))
+
+
+def clinical_tokens(evidence: Column) -> Column:
+    """What evidence is looked up by: its source, its significance, and these joined, with the status behind them if confirmed."""
+
+    def of(e: Column) -> Column:
+        both = F.concat_ws("_", e["source"], e["significance"])
+        status = F.when(e["status"] == "confirmed", F.lit("confirmed"))
+        return F.array_compact(F.array(e["source"], e["significance"], F.when(e["significance"].isNotNull(), both), F.when(e["significance"].isNotNull(), F.concat(both, F.lit("_"), status)), F.concat(e["significance"], F.lit("_"), status), F.concat(e["source"], F.lit("_"), status)))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(evidence, of))))
+
+
+def left_aligned(start: Column, context: Column, sequence: Column) -> Column:
+    """A struct of start and sequence of an insertion or deletion moved left as far as the bases before it allow.
+
+    context: the bases before start, sequence: the inserted or deleted bases. It moves by one while the base before it
+    equals its last one; the bases rotate with it.
+    """
+    n, m = F.length(sequence), F.length(context)
+    base = lambda k: F.substring(context, m - k, F.lit(1))  # noqa: E731  k bases before the last one
+    turned = lambda k: F.substring(sequence, n - k % n, F.lit(1))
+    stop = F.array_min(F.filter(F.sequence(F.lit(0), m), lambda k: (k == m) | (base(k) != turned(k))))
+    moved = F.coalesce(stop, F.lit(0))
+    turn = moved % n
+    return F.struct((start - moved).alias("start"), F.concat(F.substring(sequence, n - turn + 1, turn), F.substring(sequence, F.lit(1), n - turn)).alias("sequence"))

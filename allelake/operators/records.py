@@ -87,3 +87,26 @@ def phased_near(rows: DataFrame, window: int) -> DataFrame:
 def prunable(stats: DataFrame, variants: DataFrame) -> DataFrame:
     """Variants that no cohort's files hold."""
     return variants.join(stats.filter("n_calls > 0").select("key").distinct(), "key", "left_anti")
+
+
+def merge_alleles(rows: DataFrame) -> DataFrame:
+    """Calls of files that name different alternates at one locus, with one list of alternates a locus.
+
+    rows: chrom, start, reference, alternate, sample, gt. Alternates are listed in order; an allele 1 becomes the place of
+    its row's alternate in the list, any other alternate becomes '<*>', a place behind them.
+    """
+    locus = ["chrom", "start", "reference"]
+    lists = rows.groupBy(*locus).agg(F.array_sort(F.collect_set("alternate")).alias("alternates"))
+    both = rows.join(lists, locus)
+    place = F.array_position("alternates", F.col("alternate")).cast("string")
+    other = (F.size("alternates") + 1).cast("string")
+    renamed = lambda a: F.when(a.isin("0", "."), a).when(a == "1", place).otherwise(other)
+    sign = F.when(F.contains("gt", F.lit("|")), "|").otherwise("/")
+    gt = F.when(F.size(F.split("gt", r"[/|]")) == 1, renamed(F.col("gt"))).otherwise(F.array_join(F.transform(F.split("gt", r"[/|]"), renamed), "/"))
+    return both.select(*locus, "alternates", "sample", F.when(sign == "|", F.replace(gt, F.lit("/"), F.lit("|"))).otherwise(gt).alias("gt"))
+
+
+def annotation_lines(lines: DataFrame, column: str) -> DataFrame:
+    """id and phenotype of tab-separated lines; comments and lines that are no pair with a number go."""
+    f = F.split(column, "\t")
+    return lines.filter(~F.startswith(column, F.lit("#")) & (F.size(f) == 2)).select(F.get(f, 0).try_cast("long").alias("id"), F.get(f, 1).alias("phenotype")).filter("id IS NOT NULL")

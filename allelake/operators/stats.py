@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import variant as V
+from . import overlap
 
 
 def _allele_count(gt: Column, allele: str) -> Column:
@@ -34,6 +35,33 @@ def cohort_stats(calls: DataFrame, members: DataFrame) -> DataFrame:
     return out.drop("called_hom_ref")
 
 
+def filter_counts(calls: DataFrame, members: DataFrame) -> DataFrame:
+    """By variant and cohort: calls of each FILTER value, and the mean quality."""
+    named = calls.join(F.broadcast(members), "sample")  # a row a sample
+    quality = named.groupBy("key", "cohort").agg(F.avg("qual").alias("mean_qual"))
+    return named.select("key", "cohort", F.explode("filter").alias("value")).groupBy("key", "cohort", "value").agg(F.count(F.lit(1)).alias("n")).join(quality, ["key", "cohort"])
+
+
+def frequencies_from_counts(n_samples: Column, alt: Column, non_ref: Column, missing: Column) -> tuple[Column, Column, Column]:
+    """Alternate, reference and minor frequencies from counts of alleles; missing ones do not count."""
+    total = 2 * n_samples - missing
+    alt_freq = F.coalesce(F.try_divide(alt, total), F.lit(0.0))
+    ref_freq = 1 - F.coalesce(F.try_divide(non_ref, total), F.lit(0.0))
+    return alt_freq, ref_freq, F.least(alt_freq, ref_freq)
+
+
+def transmission(trios: DataFrame) -> DataFrame:
+    """Transmission disequilibrium by variant: how often heterozygous parents hand the alternate down or not, and chi square."""
+    het = lambda c: V.genotype_class(F.col(c)) == "HET_REF"
+    child = _allele_count(F.col("child"), "1")
+    other = lambda c: F.when(V.genotype_class(F.col(c)) == "HOM_ALT", 1).otherwise(0)
+    parents = het("father").cast("int") + het("mother").cast("int")
+    # What a homozygous parent gives is known; the rest of the child's alternates comes from heterozygous ones.
+    given = F.greatest(F.least(child - F.when(~het("father"), other("father")).otherwise(0) - F.when(~het("mother"), other("mother")).otherwise(0), parents), F.lit(0))
+    sums = trios.filter(parents > 0).groupBy("key").agg(F.sum(given).cast("long").alias("given"), F.sum(parents - given).cast("long").alias("kept"))
+    return sums.withColumn("chi_square", (F.col("given") - F.col("kept")) * (F.col("given") - F.col("kept")) / (F.col("given") + F.col("kept")).cast("double"))
+
+
 def sample_stats(calls: DataFrame, variants: DataFrame) -> DataFrame:
     """One row a sample: variants, heterozygosity, transitions by transversions, mean depth."""
     carried = calls.filter(V.genotype_class(F.col("gt")) != "HOM_REF").join(variants.select("key", "reference", "alternate", "type"), "key")
@@ -120,7 +148,8 @@ def fisher(table: DataFrame) -> DataFrame:
 
 def coverage_levels(depth: DataFrame, regions: DataFrame, levels: tuple[int, ...]) -> DataFrame:
     """By region: positions, mean, least and greatest depth, and the share of positions at each level, in percent."""
-    inside = depth.join(F.broadcast(regions), (depth["chrom"] == regions["r_chrom"]) & depth["pos"].between(regions["r_start"], regions["r_end"]))  # regions are a caller's short list
+    at = depth.select("chrom", F.col("pos").alias("start"), F.col("pos").alias("end"), "depth")
+    inside = overlap.overlaps(at, regions.select(F.col("r_chrom").alias("chrom"), F.col("r_start").alias("start"), F.col("r_end").alias("end"))).withColumnRenamed("chrom", "r_chrom")
     size = F.col("r_end") - F.col("r_start") + 1
     out = inside.groupBy("r_chrom", "r_start", "r_end").agg(
         F.count(F.lit(1)).alias("n_pos"), F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"), F.sum("depth").cast("long").alias("total"), *(F.count(F.when(F.col("depth") >= k, 1)).alias(f"at_{k}") for k in levels)

@@ -49,23 +49,45 @@ def calls(rows: DataFrame, samples: list[str]) -> DataFrame:
     return each.select(*(c for c in each.columns if c != "s"), F.col("s.sample").alias("sample"), F.map_from_arrays(F.slice("format", 1, n), F.slice(values, 1, n)).alias("data"))
 
 
+def _by_sample(calls: DataFrame, samples: list[int], missing: str) -> Column:
+    """Genotypes in the order of the samples, from the column gts."""
+    order = F.array(*(F.lit(s).cast("long") for s in samples))
+    return F.transform(order, lambda s: F.coalesce(F.try_element_at("gts", s), F.lit(missing)))
+
+
 def lines(variants: DataFrame, calls: DataFrame, samples: list[int], missing: str = "./.") -> DataFrame:
     """A VCF line (column line) for each variant, with a genotype column for each sample."""
     gts = calls.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("sample", "gt"))).alias("gts"))
     rows = variants.join(gts, "key", "left")
-    gt = [F.coalesce(F.try_element_at("gts", F.lit(s).cast("long")), F.lit(missing)) for s in samples]
     note = F.concat_ws(";", F.concat(F.lit("END="), F.col("end").cast("string")), F.concat(F.lit("TYPE="), F.col("type")))
-    return rows.select("key", F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.coalesce("rs", F.lit(".")), "reference", "alternate", F.lit("."), F.lit("PASS"), note, F.lit("GT"), *gt).alias("line"))
+    gt = F.array_join(_by_sample(calls, samples, missing), "\t")
+    return rows.select("key", F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.coalesce("rs", F.lit(".")), "reference", "alternate", F.lit("."), F.lit("PASS"), note, F.lit("GT"), gt).alias("line"))
 
 
 def tped(variants: DataFrame, calls: DataFrame, samples: list[int]) -> DataFrame:
     """A transposed-PED line for each variant: chrom, id, 0, start and two alleles a sample, 0 where unknown."""
     gts = calls.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("sample", "gt"))).alias("gts"))
     rows = variants.join(gts, "key", "left")
+    base = lambda x: F.when(x == "0", F.col("reference")).when(x == "1", F.col("alternate")).otherwise("0")
 
-    def pair(s: int) -> Column:
-        a = V.alleles(F.try_element_at("gts", F.lit(s).cast("long")))
-        base = lambda x: F.when(x == "0", F.col("reference")).when(x == "1", F.col("alternate")).otherwise("0")
+    def pair(gt: Column) -> Column:
+        a = V.alleles(gt)
         return F.coalesce(F.concat(base(F.get(a, 0)), F.lit(" "), base(F.get(a, 1))), F.lit("0 0"))
 
-    return rows.select("key", F.concat_ws(" ", "chrom", V.variant_id(), F.lit("0"), F.col("start").cast("string"), *(pair(s) for s in samples)).alias("line"))
+    pairs = F.array_join(F.transform(_by_sample(calls, samples, "."), pair), " ")
+    return rows.select("key", F.concat_ws(" ", "chrom", V.variant_id(), F.lit("0"), F.col("start").cast("string"), pairs).alias("line"))
+
+
+def tfam(trios: DataFrame) -> DataFrame:
+    """Family lines: family, individual, father, mother, sex (1 male, 2 female, 0 unknown), phenotype -9; one a member."""
+    who = lambda s, f, m, sex: F.struct(F.col(s).cast("string").alias("id"), f.alias("father"), m.alias("mother"), F.lit(sex).alias("sex"))
+    none, text = F.lit("0"), lambda c: F.col(c).cast("string")
+    people = F.array(who("child", text("father"), text("mother"), "0"), who("father", none, none, "1"), who("mother", none, none, "2"))
+    return trios.select("trio", F.explode(people).alias("p")).select(F.concat_ws(" ", "trio", "p.id", "p.father", "p.mother", "p.sex", F.lit("-9")).alias("line"))
+
+
+def effect_input(variants: DataFrame) -> DataFrame:
+    """Lines of the default input of effect predictors: chrom, first and last base, alleles, strand; an insertion's last base is the one before it."""
+    r, a = F.col("reference"), F.col("alternate")
+    show = lambda c: F.when(c == "", "-").otherwise(c)
+    return variants.select("key", F.concat_ws(" ", "chrom", F.col("start").cast("string"), (F.col("start") + F.length(r) - 1).cast("string"), F.concat(show(r), F.lit("/"), show(a)), F.lit("+")).alias("line"))

@@ -7,10 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from allelake.functions import variant as V
 from allelake.functions import inheritance
+from allelake.functions import variant as V
 from allelake.operators import families, overlap, records, samples, stats
-from allelake.plans import facets, filters
+from allelake.plans import facets, filters, index, projection
 from allelake.plans import language as L
 from allelake.sources import tabular, vcf
 from allelake.streaming import pending
@@ -203,3 +203,59 @@ def test_engine(spark):
     assert "gene" not in project(lens.wide(spark, sf, ("cts",)), exclude=("cts.gene",)).schema["cts"].dataType.elementType.names
     with pytest.raises(L.LanguageError):
         e.query({}, limit=5001)
+
+
+def test_genotype_codes(spark):
+    cases = [("0/0", 0), ("0/1", 1), ("1/1", 2), ("0|0", 3), ("0|1", 4), ("1|0", 5), ("1|1", 6), ("0", 7), ("1", 8), ("2/2", 9), ("1/2", 10), ("0/2", 10), ("./.", 11), ("./1", 12), (None, 13), ("?/?", 13)]
+    rows = spark.createDataFrame(cases, "gt string, want int").select("*", V.genotype_code(F.col("gt")).alias("code")).collect()
+    assert all(r.code == r.want for r in rows)
+    several = [(["0/1"], 1), (["0/1", "1/1"], 14), (["0|1", "1|1", "0|1"], 14), (["0/0", "0/1"], 15), (["0/1", "1/2"], 15)]
+    rows = spark.createDataFrame(several, "gts array<string>, want int").select("*", V.genotypes_code(F.col("gts")).alias("code")).collect()
+    assert all(r.code == r.want for r in rows)
+
+
+def test_genotype_classes(spark):
+    cases = {"0/2": {"HET", "HET_REF", "SEC"}, "2/2": {"HOM_ALT", "SEC", "SEC_ALT"}, "1/2": {"HET", "HET_ALT", "MAIN_ALT"}, "./1": {"HET", "HET_MISS", "MAIN_ALT"}, "./.": {"MISS"}, "NA": {"NA"}, "1": {"HOM_ALT", "MAIN_ALT"}, "0|0": {"HOM_REF"}}
+    rows = spark.createDataFrame([(g,) for g in cases], "gt string").select("gt", *(V.is_class(F.col("gt"), c).alias(c) for c in V.CLASSES)).collect()
+    for r in rows:
+        assert {c for c in V.CLASSES if r[c]} == cases[r.gt], r.gt
+
+
+def test_left_aligned(spark):
+    """The bases move left as long as the base before them is their last one."""
+    rnd, rows = random.Random(2), []
+    for _ in range(200):
+        context, bases = "".join(rnd.choices("AC", k=rnd.randrange(12))), "".join(rnd.choices("AC", k=rnd.randrange(1, 5)))
+        at, moved = len(context), bases
+        while at and context[at - 1] == moved[-1]:
+            at, moved = at - 1, moved[-1] + moved[:-1]
+        rows.append((context, bases, at, moved))
+    frame = spark.createDataFrame(rows, "context string, bases string, at int, moved string")
+    for r in frame.select("*", V.left_aligned(F.length("context"), F.col("context"), F.col("bases")).alias("t")).collect():
+        assert (r.t.start, r.t.sequence) == (r.at, r.moved), r
+
+
+def test_index_filters(spark):
+    """Whatever the comparison, codes and look-ups together find what the values say."""
+    rnd = random.Random(3)
+    rows = [(k, s, "0/1", rnd.choice([None, *range(0, 60, 3)]), float(rnd.choice([5, 10, 12.5, 20, 25, 30, 35])), rnd.choice([["PASS"], ["LowQ"], ["PASS", "LowQ"], []])) for k in range(40) for s in range(3)]
+    calls = spark.createDataFrame(rows, "key long, sample long, gt string, dp int, qual double, filter array<string>")
+    built = index.build(calls)
+    for text, test in {
+        "dp>=15": lambda r: r[3] is not None and r[3] >= 15, "dp>17": lambda r: r[3] is not None and r[3] > 17, "dp<=30": lambda r: r[3] is not None and r[3] <= 30, "dp<10": lambda r: r[3] is not None and r[3] < 10, "dp=30": lambda r: r[3] == 30,
+        "qual>30": lambda r: r[4] > 30, "qual<20,filter=LowQ": lambda r: r[4] < 20 or "LowQ" in r[5], "filter!=PASS;qual>=10": lambda r: "PASS" not in r[5] and r[4] >= 10,
+    }.items():
+        assert {(r.key, r.sample) for r in index.select(built, calls, text).collect()} == {r[:2] for r in rows if test(r)}, text
+
+
+def test_merge_alleles(spark):
+    rows = [("1", 5, "A", "C", 1, "0/1"), ("1", 5, "A", "G", 2, "1|1"), ("1", 5, "A", "G", 3, "1/2"), ("1", 9, "T", "C", 1, "./1"), ("1", 9, "T", "C", 2, "1")]
+    got = {(r.start, r.sample): (r.alternates, r.gt) for r in records.merge_alleles(spark.createDataFrame(rows, "chrom string, start int, reference string, alternate string, sample int, gt string")).collect()}
+    assert got == {(5, 1): (["C", "G"], "0/1"), (5, 2): (["C", "G"], "2|2"), (5, 3): (["C", "G"], "2/3"), (9, 1): (["C"], "./1"), (9, 2): (["C"], "1")}
+
+
+def test_include_lists():
+    assert projection.included(None, ("a",)) == ("a",) and projection.included("all") is None and projection.included("none") == () and projection.included("x,y") == ("x", "y")
+    assert projection.filtered_samples({"sample": "s1;!s2", "genotype": "s3:0/1,1/1"}) == ("s1", "s2", "s3") and projection.filtered_samples({}) is None
+    with pytest.raises(L.LanguageError):
+        projection.included("all,x")
