@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import lens
 from ..functions import variant as V
-from ..operators import families, stats
+from ..operators import families, samples, stats
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,8 +83,5 @@ def circos_tracks(spark, sf_dir):
 
 @_add(lens.SQL + "SELECT a.sample AS a, b.sample AS b, count(*) AS shared, count(*) FILTER (WHERE replace(a.gt, '|', '/') = replace(b.gt, '|', '/')) AS same FROM calls a JOIN calls b ON a.key = b.key AND a.sample < b.sample GROUP BY 1, 2")
 def relatedness(spark, sf_dir):
-    """Of each pair of samples, variants called in both and with equal genotypes; samples of a variant are few."""
-    c = lens.calls(spark, sf_dir).select("key", "sample", V.unphased(F.col("gt")).alias("gt"))
-    b = c.select("key", F.col("sample").alias("b"), F.col("gt").alias("gt_b"))
-    pairs = c.withColumnRenamed("sample", "a").join(b, "key").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.count(F.when(F.col("gt") == F.col("gt_b"), 1)).alias("same"))
+    """Of each pair of samples, variants called in both and with equal genotypes."""
+    return samples.pair_counts(lens.calls(spark, sf_dir).select("key", "sample", V.unphased(F.col("gt")).alias("gt")))

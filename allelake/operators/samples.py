@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +47,48 @@ def eligible(tree, everyone: DataFrame, key: str = "sample") -> DataFrame:
     rest = [p[1] for p in parts if not isinstance(p, DataFrame) and p[0] == "not"]
     start = [eligible(p, everyone, key) for p in plain] or [everyone]
     return all_of(start, [eligible(p, everyone, key) for p in rest], key)
+
+
+#: Samples of one side of a tile, and calls that one task multiplies, about.
+TILE, CALLS = 512, 1 << 20
+
+
+def pair_counts(calls: DataFrame, tile: int = TILE, per_task: int = CALLS) -> DataFrame:
+    """Of each pair of samples (a < b) the variants called in both (shared) and with equal genotypes (same).
+
+    Calls form blocks of variants and pairs of sample tiles; a task multiplies incidence columns of one of these, so
+    that what it sends grows with the pairs of samples and not with their variants. Columns: key, sample, gt.
+    """
+    rows = calls.select(F.xxhash64("key").alias("key"), F.col("sample").cast("long").alias("sample"), F.xxhash64("gt").alias("gt"), F.floor(F.col("sample") / tile).cast("int").alias("part"))
+    n, tiles = rows.agg(F.count(F.lit(1)), F.max("part")).first()
+    blocks, tiles = max(1, (n or 0) // per_task), (tiles or 0) + 1
+    rows = rows.withColumn("block", F.pmod("key", F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    rows = rows.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key", "sample", "gt")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("same", pa.int64())])
+
+    def multiply(table: pa.Table) -> pa.Table:
+        samples, column = np.unique(table["sample"].to_numpy(), return_inverse=True)
+        _, row = np.unique(table["key"].to_numpy(), return_inverse=True)
+        kinds, kind = np.unique(table["gt"].to_numpy(), return_inverse=True)
+        side = samples // tile
+        shared, same = np.zeros((2, len(samples), len(samples)))
+        step = max(1, (1 << 22) // max(len(samples), 1))
+        order = np.argsort(row, kind="stable")
+        row, column, kind = row[order], column[order], kind[order]
+        for first in range(0, int(row[-1]) + 1 if len(row) else 0, step):
+            a, b = np.searchsorted(row, (first, first + step))
+            grid = np.zeros((step, len(samples)), np.float32)
+            grid[row[a:b] - first, column[a:b]] = 1
+            shared += grid.T @ grid
+            for k in range(len(kinds)):
+                here = np.zeros_like(grid)
+                of = kind[a:b] == k
+                here[row[a:b][of] - first, column[a:b][of]] = 1
+                same += here.T @ here
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        keep = np.triu(shared > 0, 1) & ((side[:, None] == i) & (side[None, :] == j))
+        x, y = np.nonzero(keep)
+        return pa.table([samples[x], samples[y], shared[x, y].astype(np.int64), same[x, y].astype(np.int64)], schema=schema)
+
+    found = rows.groupBy("block", "i", "j").applyInArrow(multiply, "a long, b long, shared long, same long")
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.sum("same").alias("same"))
