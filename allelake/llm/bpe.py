@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common, pretokenize
 
-#: Entries of a worker's piece cache (about 200 MB), and characters tokenised together.
-CACHE = 1_000_000
-CHUNK = 1 << 22
+#: Entries of a worker's piece cache (about 60 MB), and characters tokenised together.
+CACHE = 250_000
+CHUNK = 1 << 21
 LONG = 400
 NEVER = np.int32(2**31 - 1)
 

@@ -31,7 +31,7 @@ MIN_DOCS = 4
 WHOLE = 1 << 20
 #: A document is rejected below this probability of being good.
 THRESHOLD = 0.5
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 EDGES = np.frombuffer(b".,;:!?\"'()[]", np.uint8)
 MARKS = np.frombuffer(b"#*$%&|<>", np.uint8)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -250,6 +250,7 @@ def _exchange(pool: DataFrame, model: dict[str, np.ndarray]) -> tuple[np.ndarray
             texts, t, pages, p = _views(model, text_features(data), page_features(*(b.column(k).to_pylist() for k in (1, 2, 3))))
             told[0] += sure_parts(texts, sizes[0], p)
             told[1] += sure_parts(pages, sizes[1], t)
+        pa.default_memory_pool().release_unused()
         for view, x in enumerate(told):
             some = np.flatnonzero(x.any(axis=0))
             yield common.batch(schema, np.full(len(some), view, np.int32), some.astype(np.int32), x[0][some], x[1][some])
@@ -301,6 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
             text = stack("hashes", np.uint64), counts, stack("dense", np.float64).reshape(-1, DENSE)
             page, left_out = (stack("page", np.uint64), np.full(len(y), 5)), got["left_out"].to_numpy()
             del got
+            pa.default_memory_pool().release_unused()
             data = io.BytesIO()
             np.savez(data, **fit_views(text, page, y, left_out, told))
             yield pa.RecordBatch.from_arrays([pa.array([data.getvalue()], pa.binary())], ["model"])

@@ -40,10 +40,18 @@ class Encoder:
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(MARK, "isolated"), mapped])
         if hasattr(self.tokenizer.model, "_resize_cache"):  # pieces come once, so the library's own cache only costs
             self.tokenizer.model._resize_cache(0)
-        self.alone = Tokenizer.from_file(path)
-        self.alone.encode_special_tokens = True
+        self.path = path
         self.pieces = pretokenize.Pieces(self._ids, bpe.CACHE)
 
+    @functools.cached_property
+    def alone(self):
+        """The library as it is, for the few pieces that hold the mark."""
+        from tokenizers import Tokenizer
+
+        alone = Tokenizer.from_file(self.path)
+        alone.encode_special_tokens = True
+        return alone
+
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         out = []
         for i in range(0, len(pieces), 1000):
